@@ -42,14 +42,20 @@ def _peaked(gap: str, sigma: float) -> str:
     )
 
 
-def scored_ctes(weights: dict[str, str] | None = None, catalog: str = "{v_catalog}") -> str:
-    """CTEs ending in `scored(profile_id, id, score, <components>)` over all admitted pairs."""
+def rescored_ctes(weights: dict[str, str] | None = None, suffix: str = "") -> str:
+    """`scored` and `ranked` over the shared `pairs`, with per-component factors."""
     w = {c: f"{v}e0" for c, v in V.DEFAULT_WEIGHTS.items()}
     w["cost"] = f"coalesce(w_cost, {w['cost']})"
     for c, f in (weights or {}).items():
         w[c] = f"({w[c]} * {f})"
     total = " + ".join(w[c] for c in V.COMPONENTS)
     dot = " + ".join(f"{w[c]}*{c}" for c in V.COMPONENTS)
+    return f"""scored{suffix} as (select profile_id, id, round({_clamp(f"({dot})/({total})")}, 6) score, {', '.join(V.COMPONENTS)} from pairs),
+    ranked{suffix} as (select *, cast(row_number() over (partition by profile_id order by score desc, id) as int) rank from scored{suffix})"""
+
+
+def scored_ctes(weights: dict[str, str] | None = None, catalog: str = "{v_catalog}") -> str:
+    """CTEs ending in `ranked(profile_id, id, score, <components>, rank)` over all admitted pairs."""
     imp = {a: f"(abs(pf_{a}-0.5e0)*2)" for a in V.CULTURE_AXES}
     cw = " + ".join(imp.values())
     cs = " + ".join(f"{imp[a]}*(1e0-abs(pf_{a}-c_{a}))" for a in V.CULTURE_AXES)
@@ -85,8 +91,7 @@ def scored_ctes(weights: dict[str, str] | None = None, catalog: str = "{v_catalo
       left join act_n a on a.profile_id = p.profile_id
       left join hits h on h.profile_id = p.profile_id and h.um = q.umm
       join (select id from unis) u on u.id = p.id),
-    scored as (select profile_id, id, round({_clamp(f"({dot})/({total})")}, 6) score, {', '.join(V.COMPONENTS)} from pairs),
-    ranked as (select *, cast(row_number() over (partition by profile_id order by score desc, id) as int) rank from scored)"""
+    {rescored_ctes(weights)}"""
 
 
 def ranked_profiles(t):
@@ -105,3 +110,178 @@ def top5(t, k=5, feedback=None):
 )
 def rank_top5(t):
     return top5(t)
+
+
+@query(
+    "admit_tiers",
+    "M9",
+    "with " + scored_ctes() + """
+    select r.profile_id, r.rank, r.id, r.score,
+      case when p.gpa is null then null when c.acceptance_rate <= 0.15e0 then 'extreme_reach'
+        when c.avg_gpa - p.gpa >= 0.12e0 then 'reach' when c.avg_gpa - p.gpa <= -0.12e0 then 'safety'
+        else 'target' end admit_tier
+    from ranked r join {v_catalog} c on r.id = c.id join {v_profiles} p on r.profile_id = p.profile_id
+    where rank <= 5""",
+)
+def admit_tiers(t):
+    tiers = ranking.with_admit_tier(top5(t), t["v_profiles"], t["v_catalog"])
+    return tiers.select("profile_id", "rank", "id", "score", "admit_tier")
+
+
+@query(
+    "match_paging",
+    "F18 W10 W11 T35",
+    "with " + scored_ctes() + """,
+    tiered as (select r.profile_id, r.rank, r.id, c.net_price, c.acceptance_rate,
+        case when c.acceptance_rate <= 0.15e0 then 'extreme_reach' when c.avg_gpa - p.gpa >= 0.12e0 then 'reach'
+          when c.avg_gpa - p.gpa <= -0.12e0 then 'safety' else 'target' end admit_tier
+      from ranked r join {v_catalog} c on r.id = c.id join {v_profiles} p on r.profile_id = p.profile_id where rank <= 20),
+    placed as (select *, row_number() over (partition by profile_id order by coalesce(net_price, 1e9), rank) position,
+        row_number() over (partition by profile_id order by coalesce(acceptance_rate, 1e0), rank) by_selectivity
+      from tiered where admit_tier in ('reach', 'target', 'safety'))
+    select profile_id, id, cast(position as int) "position", cast(by_selectivity as int) by_selectivity,
+      case admit_tier when 'reach' then 'Reach' when 'target' then 'Target' else 'Safety' end tier_label
+    from placed where position > 5 and position <= 10""",
+)
+def match_paging(t):
+    from matricula.functions.display import tier_label
+
+    top = ranking.with_universities(top5(t, 20), t["v_catalog"], ["net_price", "acceptance_rate"])
+    tiers = ranking.with_admit_tier(
+        top.drop("net_price", "acceptance_rate"), t["v_profiles"], t["v_catalog"]
+    ).join(t["v_catalog"].select("id", "net_price", "acceptance_rate"), "id")
+    chosen = ranking.filter_tiers(tiers, ["reach", "target", "safety"])
+    both = ranking.resort(
+        ranking.resort(chosen, "selectivity").withColumnRenamed("position", "by_selectivity"), "price"
+    )
+    return ranking.page(both, 2, 5).select(
+        "profile_id", "id", "position", "by_selectivity", tier_label(F.col("admit_tier")).alias("tier_label")
+    )
+
+
+_FEEDBACK = {"academic": "0.6e0", "cost": "1.5e0"}
+
+
+def _feedback(t):
+    return t["v_profiles"].select(
+        "profile_id",
+        F.create_map(
+            F.lit("academic"), F.lit(0.6), F.lit("cost"), F.lit(1.5), F.lit("prestige"), F.lit(1.2)
+        ).alias("feedback"),
+    )
+
+
+@query(
+    "rank_with_feedback",
+    "M8 E1",
+    "with " + scored_ctes(_FEEDBACK) + " select profile_id, rank, id, score from ranked where rank <= 5",
+)
+def rank_with_feedback(t):
+    return top5(t, feedback=_feedback(t)).select("profile_id", "rank", "id", "score")
+
+
+def _odd_reviews(ranked):
+    """A review naming an unknown id, repeating ids, and stating unusable numbers."""
+    worst_first = F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "id")), asc=False), lambda r: r["id"]
+    )
+    return ranked.groupBy("profile_id").agg(worst_first.alias("ids")).select(
+        "profile_id",
+        F.concat(F.array(F.lit("nowhere")), F.col("ids"), F.col("ids")).alias("keep_ids"),
+        F.element_at(
+            F.array(*[F.lit(c) for c in ("1.7", "-3", "abc", "0.4")]),
+            (F.col("profile_id") % 4 + 1).cast("int"),
+        ).alias("confidence"),
+        F.create_map(
+            F.lit("cost"), F.lit("9"), F.lit("fit"), F.lit("0.1"), F.lit("academic"), F.lit("x")
+        ).alias("weight_feedback"),
+        F.create_map(F.lit("nowhere"), F.lit("n"), F.col("ids")[0], F.lit("kept note")).alias("notes"),
+    )
+
+
+@query(
+    "sanitized_reviews",
+    "J13 M12 M13 F24",
+    "with " + scored_ctes() + """,
+    pool as (select *, max(rank) over (partition by profile_id) worst from ranked where rank <= 8)
+    select profile_id, cast(worst - rank as int) pos, id,
+      case profile_id % 4 when 0 then 1e0 when 1 then 0e0 when 2 then 0e0 else 0.4e0 end confidence,
+      1.5e0 fb_cost, 0.5e0 fb_fit, 2 n_feedback, case when rank = worst then 'kept note' end note
+    from pool where worst - rank < 5""",
+)
+def sanitized_reviews(t):
+    ranked = top5(t, 8)
+    clean = reviews.sanitize(_odd_reviews(ranked), ranked, 5)
+    return clean.select(
+        "profile_id", F.posexplode("keep_ids").alias("pos", "id"), "confidence",
+        F.col("feedback")["cost"].alias("fb_cost"), F.col("feedback")["fit"].alias("fb_fit"),
+        F.size("feedback").alias("n_feedback"), "notes",
+    ).withColumn("note", F.try_element_at("notes", F.col("id"))).drop("notes")
+
+
+_ARGMAX = "case " + " ".join(
+    f"when {c} = greatest({', '.join(V.COMPONENTS)}) then '{c}'" for c in V.COMPONENTS
+) + " end"
+
+
+@query(
+    "feedback_loop_default",
+    "I1 J14 M14 W7 E2",
+    "with " + scored_ctes() + f"""
+    select r.profile_id, cast(rank as int) "position", r.id, c.name, score, 'Strong on ' || {_ARGMAX} reason
+    from ranked r join {{v_catalog}} c on r.id = c.id where rank <= 5""",
+)
+def feedback_loop_default(t):
+    _, results = reviews.feedback_loop(ranked_profiles(t), t["v_catalog"])
+    return results.select(
+        "profile_id", F.col("position").cast("int").alias("position"), "id", "name", "score",
+        F.substring_index("rationale", " (score", 1).alias("reason"),
+    )
+
+
+def scripted_review(k=5):
+    """Disagrees once with a change of weights, then agrees."""
+
+    def review(ranked, iteration):
+        base = reviews.default_review(ranked, iteration, k)
+        if iteration:
+            return base.withColumn("confidence", F.lit("0.5"))
+        return base.select(
+            "profile_id",
+            F.reverse("keep_ids").alias("keep_ids"),
+            F.lit("0.5").alias("confidence"),
+            F.create_map(F.lit("academic"), F.lit("0.6"), F.lit("cost"), F.lit("7")).alias("weight_feedback"),
+            "notes",
+        )
+
+    return review
+
+
+@query(
+    "feedback_loop_trace",
+    "I1 R5 W7 E2",
+    "with " + scored_ctes() + """,
+    first as (select profile_id, string_agg(id, ',' order by rank) top_ids from ranked where rank <= 5 group by 1),
+    """ + rescored_ctes(_FEEDBACK, "2") + """,
+    second as (select profile_id, string_agg(id, ',' order by rank) top_ids from ranked2 where rank <= 5 group by 1)
+    select profile_id, 0 iteration, top_ids, 0.5e0 confidence, null stop_reason from first
+    union all select profile_id, 1, top_ids, 0.5e0, 'R1_converged' from second""",
+)
+def feedback_loop_trace(t):
+    trace, _ = reviews.feedback_loop(ranked_profiles(t), t["v_catalog"], scripted_review())
+    return trace.withColumn("top_ids", F.array_join("top_ids", ","))
+
+
+@query(
+    "activity_subjects",
+    "J19 T31",
+    "with hit as (select activity_id, case " + " ".join(
+        f"when regexp_matches(text, '{re2(p)}') then '{'|'.join(subjects)}'" for p, subjects in V.ACTIVITY_SUBJECTS
+    ) + " else '' end subjects from {v_activities}) select activity_id, subjects from hit",
+)
+def activity_subjects(t):
+    from matricula.functions.text import activity_subjects as subjects
+
+    return t["v_activities"].select(
+        "activity_id", F.array_join(subjects(F.col("text")), "|").alias("subjects")
+    )

@@ -232,6 +232,46 @@ VIEWS: dict[str, str] = {
           case when n_nationkey % 3 = 0 then concat('lab ', n_name) else null end as research,
           split('https://hand', ',') as src
         from {nation}""",
+    "v_filter_catalog": """
+        select concat('sch-', cast(p_partkey % 1500 as string)) as id, p_name as name,
+          case p_size % 4 when 0 then null when 1 then 'United States' when 2 then ' ' else 'Canada' end as country,
+          concat(split_part(p_name, ' ', 1), ', ', case p_partkey % 4 when 0 then 'CA' when 1 then 'ny' when 2 then 'ZZ' else 'Illinois' end) as location,
+          concat(' ', p_type, ' ') as type,
+          case p_partkey % 5 when 0 then null when 1 then concat('www.x', cast(p_partkey as string), '.edu/home') when 2 then concat('https://y', cast(p_partkey as string), '.com/') when 3 then '  ' else concat('http://z', cast(p_partkey as string), '.edu') end as url,
+          p_partkey as seq
+        from {part}""",
+    # listing pages of 25 schools: each shows one person and links a few later pages
+    "v_listing_pages": """
+        select concat('https://www.s', cast(c_nationkey as string), '.edu/faculty?page=', cast(c_custkey as string)) as url,
+          case when c_custkey % 17 = 0 then 500 else 200 end as status,
+          concat('<html><body><a href="/people/', lower(replace(c_name, '#', '-')), '">', c_name, '</a>',
+            '<a href="?page=', cast(c_custkey + 5 as string), '">Next</a>',
+            '<a href="?page=', cast(c_custkey + 11 as string), '" rel="next">more</a>',
+            '<a href="https://elsewhere.org/people/x">partner</a>',
+            '<a href="../people/./d', cast(c_nationkey as string), '/">dept</a>',
+            '<a href="mailto:a@b.edu">mail</a><a href="/files/cv.pdf">cv</a></body></html>') as body,
+          c_nationkey as school_key, c_custkey as ord
+        from {customer}""",
+    "v_sitemaps": """
+        select concat('https://s', cast(s_nationkey as string), '.edu/map-', cast(s_suppkey as string), '.xml') as doc_url,
+          case when s_suppkey % 13 = 0 then 404 else 200 end as status,
+          case when s_suppkey % 11 = 0 then '<urlset><url><loc>broken'
+            when s_suppkey % 3 = 0 then concat('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://s', cast(s_nationkey as string), '.edu/map-', cast(s_suppkey + 25 as string), '.xml</loc></sitemap><sitemap><loc> https://s', cast(s_nationkey as string), '.edu/map-', cast(s_suppkey + 50 as string), '.xml </loc></sitemap></sitemapindex>')
+            else concat('<urlset><url><loc>https://s', cast(s_nationkey as string), '.edu/people/a', cast(s_suppkey as string), '</loc></url><url><loc>https://s', cast(s_nationkey as string), '.edu/faculty/</loc></url><url><loc>  </loc></url></urlset>') end as body,
+          s_nationkey as school_key, s_suppkey as ord
+        from {supplier}""",
+    "v_site_urls": """
+        select concat('s', cast(c_nationkey as string)) as school_id,
+          concat('https://s', cast(c_nationkey as string), '.edu/',
+            case c_custkey % 4 when 0 then concat('people/', lower(c_mktsegment), '/p', cast(c_custkey as string), '.html')
+              when 1 then concat('news/', cast(c_custkey as string))
+              when 2 then concat('academics/faculty/', case when c_custkey % 5 = 0 then 'index.html' else concat('f', cast(c_custkey as string)) end)
+              else case when c_custkey % 3 = 0 then 'staff/' else 'directory/people.php' end end) as url
+        from {customer}""",
+    "v_school_families": """
+        select concat('inst', cast(n_nationkey as string)) as school_id, n_nationkey as k,
+          case when n_nationkey % 5 = 0 then null else split(case n_nationkey % 4 when 0 then 'Engineering,Physical Sciences' when 1 then 'Mathematics & Statistics,Visual & Performing Arts' when 2 then 'Health Professions' else 'History,Engineering' end, ',') end as families
+        from {nation}""",
 }
 
 
@@ -248,7 +288,7 @@ class Tables:
             if name in VIEWS:
                 text = VIEWS[name]
                 used = {n: self[n] for n in references(text)}
-                self._loaded[name] = self.spark.sql(text, **used)
+                self._loaded[name] = self.spark.sql(_escape(text), **used)
             else:
                 self._loaded[name] = self.spark.read.schema(BASE_SCHEMAS[name]).parquet(
                     f"{self.sf_dir}/{name}.parquet"
@@ -256,6 +296,14 @@ class Tables:
         return self._loaded[name]
 
 
+def _escape(text: str) -> str:
+    """Double every brace that is not a table reference."""
+    parts = re.split(r"(\{\w+\})", text)
+    return "".join(
+        p if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts)
+    )
+
+
 def references(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)) & (set(VIEWS) | set(BASE_SCHEMAS)))
 
