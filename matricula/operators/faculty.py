@@ -57,12 +57,13 @@ def extract_deterministic(pages: DataFrame) -> DataFrame:
 
     pages(school_id, school_name, profile_url, directory_url, http_status, html).
     """
-    hinted = page_hints(pages)
+    hinted = page_hints(pages).withColumn("_unread", F.col("html").isNull())
     name = deterministic_name(
         F.col("person")["name"], F.col("meta_author"), F.col("school_name")
     )
     outcome = (
         F.when(F.col("http_status") != 200, "non_200")
+        .when(F.col("_unread"), "failed")  # fetched, but its text is missing
         .when(F.col("professor_name").isNull(), "no_name")
         .otherwise("extracted")
     )

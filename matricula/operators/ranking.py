@@ -3,11 +3,12 @@
 Execution plan. The catalog is folded into *packs* of at most about `PACK_ROWS`
 universities, keyed by the two hard filters (country class, institution type)
 and a pack number. A profile meets the packs its filters admit through an
-equi-join; the engine broadcasts the packs when their measured size is under
-the broadcast threshold and shuffles on (filters, pack) otherwise, with the
-same result. Profiles are hash-partitioned by `profile_id` once, before the
-join, so scoring a pack and ranking what it yields happen in the same task: no
-pair is ever shuffled, and the partial rank keeps k rows per profile.
+equi-join. The catalog is counted first: up to `BROADCAST_ROWS` universities
+(a few megabytes) the packs are broadcast, and profiles, hash-partitioned by
+`profile_id` once, are scored and ranked in the same task. A larger catalog is
+shuffled on (filters, pack) instead, which by then are many keys; the partial
+rank still reduces each task to k rows per profile before they move. Either
+way no pair crosses the network, and the result is the same.
 
 Everything that depends on one side only (regex masks, importances, weight
 sums, lower-cased names) is computed before the sides meet. The pair arithmetic
@@ -17,6 +18,8 @@ each generated method stays small enough to be compiled by the JVM.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from matricula.functions import text as T
 from matricula.operators.common import top_n
 
 PACK_ROWS = 256
+BROADCAST_ROWS = 16384
 UNIVERSITY_FIELDS = (
     "id", "avg_gpa", "avg_sat", "acceptance_rate", "net_price", "sticker_tuition",
     "tuition_in_state", "state", "region", "setting", "enrollment",
@@ -172,14 +176,22 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     )
 
 
-def pack_catalog(catalog: DataFrame, pack_rows: int = PACK_ROWS) -> tuple[DataFrame, int]:
-    """(packs, packs per filter key). One count sizes the packs.
+@dataclass(frozen=True)
+class Packs:
+    df: DataFrame
+    per_filter: int
+    rows: int
+
+
+def pack_catalog(catalog: DataFrame, pack_rows: int = PACK_ROWS) -> Packs:
+    """Packed catalog with its size. One count sizes the packs and decides on broadcasting.
 
     Inside a pack, schools with the same subject mask sit together: the activity
     component is the same for all of them and is computed once per group.
     """
     ready = prepare_catalog(catalog)
-    packs = max(1, -(-catalog.count() // pack_rows))
+    rows = catalog.count()
+    packs = max(1, -(-rows // pack_rows))
     entry = F.struct(*[c for c in ready.columns if c not in ("is_us", "type", "subject_mask")])
     packed = (
         ready.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int"))
@@ -188,7 +200,7 @@ def pack_catalog(catalog: DataFrame, pack_rows: int = PACK_ROWS) -> tuple[DataFr
         .groupBy("is_us", "type", "pack")
         .agg(F.collect_list(F.struct("subject_mask", "entries")).alias("groups"))
     )
-    return packed, packs
+    return Packs(packed, packs, rows)
 
 
 def admitted_filters(profiles: DataFrame, packs: int) -> DataFrame:
@@ -218,16 +230,20 @@ def rank_top_k(
     catalog: DataFrame,
     k: int = 5,
     feedback: DataFrame | None = None,
-    packed: tuple[DataFrame, int] | None = None,
+    packed: Packs | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """profile_id, rank, id, score, components: score descending, id ascending."""
-    packs, n = packed if packed is not None else pack_catalog(catalog)
-    # One hash partitioning by profile serves both the scoring and the final rank.
-    width = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = prepare_profiles(profiles, feedback).repartition(width, "profile_id")
-    seekers = admitted_filters(ready, n)
+    packs = packed or pack_catalog(catalog)
+    ready, entries = prepare_profiles(profiles, feedback), packs.df
+    if packs.rows <= broadcast_rows:
+        entries = F.broadcast(entries)
+        # One hash partitioning by profile serves both the scoring and the final rank.
+        width = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ready = ready.repartition(width, "profile_id")
+    seekers = admitted_filters(ready, packs.per_filter)
     pairs = (
-        seekers.join(packs, ["is_us", "type", "pack"])
+        seekers.join(entries, ["is_us", "type", "pack"])
         .drop("is_us", "type", "pack", "scope", "institution_type")
         .withColumn("g", F.explode("groups"))
         .withColumn(
