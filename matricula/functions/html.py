@@ -117,11 +117,14 @@ def soft_404(body: Column) -> Column:
 # ----------------------------------------------------------------- hints ----
 def email_in_text(text: Column) -> Column:
     """First e-mail, after undoing the bracketed and upper-case AT/DOT disguises."""
+    # Most texts hold no at-sign in any form; one scan settles them.
+    suspect = text.contains("@") | text.rlike(r"\sAT\s|(?i)[\[(]\s*at\s*[\])]")
     plain = F.regexp_replace(text, V.BRACKET_AT, "@")
     plain = F.regexp_replace(plain, V.BRACKET_DOT, ".")
     plain = F.regexp_replace(plain, "(?U)" + V.BARE_AT, "@")
     plain = F.regexp_replace(plain, "(?U)" + V.BARE_DOT, ".")
-    return F.nullif(F.regexp_extract(plain, "(?U)" + V.EMAIL_PATTERN, 0), F.lit(""))
+    found = F.regexp_extract(plain, "(?U)" + V.EMAIL_PATTERN, 0)
+    return F.when(suspect, F.nullif(found, F.lit("")))
 
 
 def phone_in_text(text: Column) -> Column:

@@ -90,20 +90,18 @@ def activity_text(name: Column, kind: Column | None = None, about: Column | None
 
 
 def matches_any(text: Column, pattern: str) -> Column:
-    """`text rlike pattern` for an alternation of mostly plain words.
+    """`text rlike pattern` for an alternation of plain words and `\\bword\\b`.
 
-    Plain alternatives become substring tests, which cost far less on long
-    texts than trying every alternative at every position.
+    Alternatives become substring tests, which cost far less on long texts than
+    trying every alternative at every position.
     """
-    alternatives = pattern.split("|")
-    plain = [a for a in alternatives if a.replace(" ", "").replace("-", "").isalnum()]
-    rest = [a for a in alternatives if a not in plain]
-    tests = [text.contains(a) for a in plain]
-    if rest:
-        tests.append(text.rlike("(?U)" + "|".join(rest)))
-    hit = tests[0]
-    for test in tests[1:]:
-        hit = hit | test
+    hit = None
+    for alternative in pattern.split("|"):
+        word = alternative.replace(r"\b", "")
+        test = text.contains(word)
+        if word != alternative:  # whole word: the boundary check runs on containing texts only
+            test = test & text.rlike("(?U)" + alternative)
+        hit = test if hit is None else hit | test
     return hit
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matricula import fixed_values as V
 from matricula.functions import display, nested, numeric
 from matricula.functions.text import matches_any
-from matricula.operators.common import top_n
+from matricula.operators.common import spread, top_n
 
 
 # ------------------------------------------------------- search and facets --
@@ -189,7 +189,7 @@ def rank_majors(students: DataFrame) -> DataFrame:
             for name, courses, axes, _, _ in V.MAJORS
         ]
     )
-    rows = students.withColumn("_hits", hits).select(
+    rows = spread(students).withColumn("_hits", hits).select(
         "profile_id", "courses", "people", "applied", "creative", "_hits",
         F.posexplode(spec).alias("_i", "m"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,22 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_n(df, keys, order, 1, "_first").drop("_first")
 
 
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a compute-heavy scan at least one task per core.
+
+    A small table can sit in fewer file splits than there are cores, and then
+    one task does all the text work. Below one split per core (by the size the
+    planner knows) the rows are dealt out; a large table already has more splits
+    than cores and is left alone, so nothing big is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def pending(items: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     """Items not recorded as done; failed ones stay pending."""
     done = ledger.filter(F.col("status") == "done").select(key)
@@ -51,3 +67,66 @@ def global_position(df: DataFrame, order: Sequence[Column], name: str = "positio
         .withColumn(name, F.col("_before") + F.col("_in") + 1)
         .drop("_mid", "_pid", "_in", "_before")
     )
+
+
+def breadth_first(
+    roots: DataFrame,
+    edges: DataFrame,
+    cap: int,
+    admit: Callable[[DataFrame], DataFrame] = lambda reached: reached,
+) -> DataFrame:
+    """Queue-ordered walk from many roots at once, at most `cap` visits per school.
+
+    roots(school_id, node, ord, counted); edges(src, pos, node, counted). A node
+    that does not count (it is not there to be visited) takes no share of the
+    cap and leads nowhere. One round is one level of the walk: the frontier is
+    ranked in queue order, cut to what is left of the cap, joined to its edges,
+    and stripped of nodes already queued. Each round checkpoints the one state
+    table, so the plan stays short.
+
+    Returns school_id, node, visit (null when not visited), remaining (still in
+    the queue at the end).
+    """
+    at = F.struct(F.lit(0).cast("bigint").alias("p"), F.col("ord").cast("int").alias("q"))
+    state = cut_lineage(
+        roots.groupBy("school_id", "node").agg(F.min(at).alias("at"), F.bool_or("counted").alias("counted"))
+        .withColumns({"level": F.lit(0), "visit": F.lit(None).cast("bigint")})
+    )
+    for level in range(cap):
+        done = state.filter(F.col("visit").isNotNull())
+        used = done.groupBy("school_id").agg(F.count(F.lit(1)).alias("used"))
+        frontier = (
+            state.filter((F.col("level") == level) & F.col("counted"))
+            .join(used, "school_id", "left")
+            .withColumn("used", F.coalesce("used", F.lit(0)))
+        )
+        turn = F.col("rn") + F.col("used")
+        now = (
+            top_n(frontier, ["school_id"], [F.col("at"), F.col("node")], cap, "rn")
+            .filter(turn <= cap)
+            .select("school_id", "node", turn.cast("bigint").alias("turn"))
+        )
+        reached = admit(
+            now.select("school_id", F.col("node").alias("src"), "turn").join(edges, "src")
+        )
+        fresh = (
+            reached.groupBy("school_id", "node")
+            .agg(
+                F.min(F.struct(F.col("turn").alias("p"), F.col("pos").cast("int").alias("q"))).alias("at"),
+                F.bool_or("counted").alias("counted"),
+            )
+            .join(state.select("school_id", "node"), ["school_id", "node"], "left_anti")
+            .withColumns({"level": F.lit(level + 1), "visit": F.lit(None).cast("bigint")})
+        )
+        kept = state.join(now, ["school_id", "node"], "left").withColumn(
+            "visit", F.coalesce("visit", "turn")
+        )
+        state = cut_lineage(kept.select(*state.columns).unionByName(fresh))
+        if state.filter(F.col("level") == level + 1).isEmpty():
+            break
+    place = F.struct("level", "at", "node")
+    last = state.filter(F.col("visit").isNotNull()).groupBy("school_id").agg(F.max(place).alias("last"))
+    return state.join(last, "school_id", "left").select(
+        "school_id", "node", "visit",
+        F.coalesce(F.col("visit").isNull() & (place > F.col("last")), F.lit(True)).alias("remaining"),
+    )

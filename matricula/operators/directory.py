@@ -6,7 +6,7 @@ bounded iterations of joins over it, one breadth-first level per round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matricula import fixed_values as V
@@ -14,7 +14,7 @@ from matricula.functions import html as H
 from matricula.functions import numeric as N
 from matricula.functions import text as T
 from matricula.functions import urls as U
-from matricula.operators.common import pending, top_n
+from matricula.operators.common import breadth_first, pending, spread, top_n
 from matricula.session import cut_lineage
 
 
@@ -63,7 +63,7 @@ def load_schools(catalog: DataFrame, details: DataFrame | None = None) -> DataFr
 def page_links(pages: DataFrame) -> DataFrame:
     """page_url, pos, href (absolute), text, rel for every usable anchor."""
     base = F.col("url")
-    links = pages.select(
+    links = spread(pages).select(
         base.alias("page_url"), F.posexplode(H.anchors(F.col("body"))).alias("pos", "a")
     ).filter(H.usable_href(F.col("a")["href"]))
     return links.select(
@@ -343,79 +343,53 @@ def walk_directories(
     """(profile links, walk summary) from following pagination breadth-first.
 
     entrypoints(school_id, url, ord); pages(url, status, body). At most
-    `max_pages` fetched pages per school, shared by its entrypoints. A level is
-    one round: frontier joined to pages, capped by rank, joined to the links.
+    `max_pages` existing pages per school, shared by its entrypoints. Links are
+    read from the pages once; the rounds only touch the pagination links.
     """
-    norm_pages = pages.withColumn("norm", U.normalize_url(F.col("url")))
-    norm_pages = top_n(norm_pages, ["norm"], [F.col("url")], 1, "_rn").drop("_rn")
+    # One page per normalised URL, chosen without moving any page body.
+    chosen = pages.groupBy(U.normalize_url(F.col("url")).alias("norm")).agg(
+        F.min("url").alias("page_url"), F.min_by("status", "url").alias("status")
+    )
+    existing = chosen.select("norm", F.lit(True).alias("counted"))
+    read = chosen.filter(F.col("status") == 200).select(F.col("norm").alias("src"), "page_url")
     links = cut_lineage(
-        classified_links(norm_pages.filter(F.col("status") == 200).select("url", "body"))
-        .withColumn("page_norm", U.normalize_url(F.col("page_url")))
+        classified_links(pages.filter(F.col("status") == 200).select("url", "body"))
+        .filter(F.col("kind") != "ignore")
+        .withColumn("src", U.normalize_url(F.col("page_url")))
+        .filter(F.col("norm") != F.col("src"))
         .withColumn("domain", U.registrable_domain(F.col("href")))
-        .filter((F.col("kind") != "ignore") & (F.col("norm") != F.col("page_norm")))
-        .select("page_norm", "page_url", "pos", "norm", "kind", "domain")
+        .select("src", "page_url", "pos", "norm", "kind", "domain")
+        .join(read, ["src", "page_url"], "left_semi")
+    )
+    edges = cut_lineage(
+        links.filter(F.col("kind") == "pagination")
+        .join(existing, "norm", "left")
+        .select("src", "pos", F.col("norm").alias("node"), "domain", F.coalesce("counted", F.lit(False)).alias("counted"))
     )
-    existing = norm_pages.select("norm", "status")
     roots = entrypoints.withColumn("norm", U.normalize_url(F.col("url")))
     allowed = roots.select("school_id", U.registrable_domain(F.col("url")).alias("domain")).distinct()
-    frontier = roots.groupBy("school_id", "norm").agg(
-        F.min(F.struct(F.lit(0).cast("bigint").alias("p"), F.col("ord").cast("int").alias("q"))).alias("at")
-    )
-    root_norms = frontier.select("school_id", "norm")
-    seen = cut_lineage(root_norms)
-    visited: DataFrame | None = None
-    pruned: DataFrame | None = None
-    for level in range(max_pages):
-        used = (
-            frontier.select("school_id", F.lit(0).alias("used"))
-            .distinct()
-            if visited is None
-            else visited.groupBy("school_id").agg(F.count(F.lit(1)).alias("used"))
-        )
-        present = frontier.join(existing, "norm").join(used, "school_id", "left").withColumn(
-            "used", F.coalesce("used", F.lit(0))
-        )
-        ranked = top_n(present, ["school_id"], [F.col("at"), F.col("norm")], max_pages + 1, "rn")
-        this = ranked.filter(F.col("rn") + F.col("used") <= max_pages).select(
-            "school_id", "norm", "status", (F.col("rn") + F.col("used")).cast("bigint").alias("page_ord")
-        )
-        this = cut_lineage(this)
-        over = frontier.join(this.select("school_id", "norm"), ["school_id", "norm"], "left_anti").join(
-            existing.select("norm"), "norm", "left_semi"
-        ).select("school_id").distinct()
-        pruned = over if pruned is None else pruned.unionByName(over)
-        visited = this if visited is None else cut_lineage(visited.unionByName(this))
-        if this.isEmpty():
-            break
-        nxt = (
-            this.select("school_id", F.col("norm").alias("page_norm"), "page_ord")
-            .join(links.filter(F.col("kind") == "pagination"), "page_norm")
-            .join(allowed, ["school_id", "domain"], "left_semi")
-            .groupBy("school_id", "norm")
-            .agg(F.min(F.struct(F.col("page_ord").alias("p"), F.col("pos").alias("q"))).alias("at"))
-            .join(seen, ["school_id", "norm"], "left_anti")
-        )
-        frontier = cut_lineage(nxt)
-        seen = cut_lineage(seen.unionByName(frontier.select("school_id", "norm")))
-        if frontier.isEmpty():
-            break
+    start = roots.join(existing, "norm", "left").select(
+        "school_id", F.col("norm").alias("node"), "ord", F.coalesce("counted", F.lit(False)).alias("counted")
+    )
+    inside = lambda reached: reached.join(allowed, ["school_id", "domain"], "left_semi")
+    walk = breadth_first(start, edges, max_pages, inside)
+    visited = walk.filter(F.col("visit").isNotNull())
     profiles = (
-        visited.select("school_id", F.col("norm").alias("page_norm"), "page_ord")
-        .join(links.filter(F.col("kind") == "profile"), "page_norm")
-        .join(allowed, ["school_id", "domain"], "left_semi")
-        .join(root_norms, ["school_id", "norm"], "left_anti")
+        inside(
+            visited.select("school_id", F.col("node").alias("src"), F.col("visit").alias("page_ord"))
+            .join(links.filter(F.col("kind") == "profile"), "src")
+        )
+        .join(roots.select("school_id", "norm").distinct(), ["school_id", "norm"], "left_anti")
     )
     found = first_pages(profiles)
-    left_over = pruned.unionByName(frontier.select("school_id")).distinct().withColumn("_more", F.lit(True))
     summary = (
-        visited.groupBy("school_id")
-        .agg(F.count(F.lit(1)).alias("pages_visited"))
+        walk.groupBy("school_id")
+        .agg(F.count("visit").alias("pages_visited"), F.bool_or("remaining").alias("remaining"))
         .join(found.groupBy("school_id").agg(F.count(F.lit(1)).alias("profiles")), "school_id", "left")
-        .join(left_over, "school_id", "left")
         .select(
             "school_id", "pages_visited",
             F.coalesce("profiles", F.lit(0)).alias("profiles"),
-            ((F.col("pages_visited") >= max_pages) & F.coalesce("_more", F.lit(False))).alias("page_cap_hit"),
+            ((F.col("pages_visited") >= max_pages) & F.col("remaining")).alias("page_cap_hit"),
         )
     )
     return found, summary
@@ -433,64 +407,36 @@ def read_sitemaps(
     are tried breadth-first, `max_documents` per school whether or not they exist.
     """
     parsed = cut_lineage(
-        documents.filter(F.col("status") == 200).select(
-            "doc_url", H.sitemap_entries(F.col("body")).alias("m")
-        ).select("doc_url", "m.kind", "m.locs")
-    )
-    frontier = seeds.groupBy("school_id", "doc_url").agg(
-        F.min(F.struct(F.lit(0).cast("bigint").alias("p"), F.col("ord").cast("int").alias("q"))).alias("at")
-    )
-    seen = cut_lineage(frontier.select("school_id", "doc_url"))
-    tried: DataFrame | None = None
-    more: DataFrame | None = None
-    for _ in range(max_documents):
-        used = (
-            frontier.select("school_id", F.lit(0).alias("used")).distinct()
-            if tried is None
-            else tried.groupBy("school_id").agg(F.count(F.lit(1)).alias("used"))
-        )
-        ranked = top_n(
-            frontier.join(used, "school_id", "left").withColumn("used", F.coalesce("used", F.lit(0))),
-            ["school_id"], [F.col("at"), F.col("doc_url")], max_documents + 1, "rn",
-        )
-        this = cut_lineage(
-            ranked.filter(F.col("rn") + F.col("used") <= max_documents).select(
-                "school_id", "doc_url", (F.col("rn") + F.col("used")).cast("bigint").alias("doc_ord")
-            )
-        )
-        cut = ranked.filter(F.col("rn") + F.col("used") > max_documents).select("school_id")
-        more = cut if more is None else more.unionByName(cut)
-        tried = this if tried is None else cut_lineage(tried.unionByName(this))
-        children = (
-            this.join(parsed.filter(F.col("kind") == "sitemapindex"), "doc_url")
-            .select("school_id", "doc_ord", F.posexplode("locs").alias("pos", "child"))
-            .groupBy("school_id", F.col("child").alias("doc_url"))
-            .agg(F.min(F.struct(F.col("doc_ord").alias("p"), F.col("pos").alias("q"))).alias("at"))
-            .join(seen, ["school_id", "doc_url"], "left_anti")
-        )
-        frontier = cut_lineage(children)
-        seen = cut_lineage(seen.unionByName(frontier.select("school_id", "doc_url")))
-        if frontier.isEmpty():
-            break
-    listed = tried.join(parsed.filter(F.col("kind") == "urlset"), "doc_url").select(
-        "school_id", "doc_ord", F.posexplode("locs").alias("pos", "url")
+        documents.filter(F.col("status") == 200)
+        .select(F.col("doc_url").alias("src"), H.sitemap_entries(F.col("body")).alias("m"))
+        .select("src", "m.kind", F.posexplode("m.locs").alias("pos", "loc"))
+    )
+    is_index = F.col("kind") == "sitemapindex"
+    edges = parsed.filter(is_index).select(
+        "src", "pos", F.col("loc").alias("node"), F.lit(True).alias("counted")
+    )
+    start = seeds.select("school_id", F.col("doc_url").alias("node"), "ord", F.lit(True).alias("counted"))
+    walk = breadth_first(start, edges, max_documents)
+    listed = (
+        walk.filter(F.col("visit").isNotNull())
+        .select("school_id", F.col("node").alias("src"), F.col("visit").alias("doc_ord"))
+        .join(parsed.filter(~is_index), "src")
+        .select("school_id", "doc_ord", "pos", F.col("loc").alias("url"))
     )
     urls = truncate(listed, "school_id", [F.col("doc_ord"), F.col("pos")], max_urls)
-    cut_short = more.distinct().withColumn("_cut", F.lit(True))
     summary = (
-        tried.groupBy("school_id")
-        .agg(F.count(F.lit(1)).alias("documents_tried"))
+        walk.groupBy("school_id")
+        .agg(F.count("visit").alias("documents_tried"), F.bool_or("remaining").alias("remaining"))
         .join(
             urls.groupBy("school_id").agg(
                 F.count(F.lit(1)).alias("urls"), F.bool_or("truncated").alias("url_cap")
             ),
             "school_id", "left",
         )
-        .join(cut_short, "school_id", "left")
         .select(
             "school_id", "documents_tried",
             F.coalesce("urls", F.lit(0)).alias("urls"),
-            (F.coalesce("_cut", F.lit(False)) | F.coalesce("url_cap", F.lit(False))).alias("truncated"),
+            (F.col("remaining") | F.coalesce("url_cap", F.lit(False))).alias("truncated"),
         )
     )
     return urls.select("school_id", "url", "doc_ord", "pos"), summary

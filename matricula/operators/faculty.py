@@ -9,7 +9,7 @@ from matricula import fixed_values as V
 from matricula.functions import html as H
 from matricula.functions import numeric as N
 from matricula.functions import text as T
-from matricula.operators.common import status_counts
+from matricula.operators.common import spread, status_counts
 
 
 # ------------------------------------------------------------ extraction ----
@@ -23,7 +23,7 @@ def with_school_names(raw: DataFrame, schools: DataFrame) -> DataFrame:
 def page_hints(pages: DataFrame) -> DataFrame:
     """Deterministic hints of each page. Only fetched (200) pages are read."""
     read = F.when(F.col("http_status") == 200, F.col("html"))
-    staged = pages.withColumns(
+    staged = spread(pages).withColumns(
         {
             "text": H.visible_text(read),
             "links": H.anchors(read),

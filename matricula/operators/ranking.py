@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from matricula import fixed_values as V
 from matricula.functions import numeric as N
 from matricula.functions import text as T
-from matricula.operators.common import top_n
+from matricula.operators.common import spread, top_n
 
 PACK_ROWS = 256
 BROADCAST_ROWS = 16384
@@ -43,7 +43,7 @@ def activity_masks(activities: DataFrame) -> DataFrame:
     so a profile with very many activities folds to its distinct masks.
     """
     counted = (
-        activities.select("profile_id", T.activity_mask(F.col("text")).alias("m"))
+        spread(activities).select("profile_id", T.activity_mask(F.col("text")).alias("m"))
         .groupBy("profile_id", "m")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -8,6 +8,7 @@ from matricula import fixed_values as V
 from matricula.functions import nested, numeric, text
 from matricula.operators import catalog as C
 from matricula.operators import details as D
+from matricula.operators.common import spread
 from workload.registry import query
 
 _MISSING = "('', 'NA', 'NULL', 'PrivacySuppressed')"
@@ -82,7 +83,7 @@ def name_keys(t):
       from {documents}""",
 )
 def folded_slugs(t):
-    return t["documents"].select(
+    return spread(t["documents"]).select(
         "doc_id",
         text.slugify_folded(F.col("text")).alias("slug"),
         text.match_name(F.col("text")).alias("match_key"),

@@ -9,6 +9,7 @@ from matricula.functions import html as H
 from matricula.functions import text as T
 from matricula.functions import urls as U
 from matricula.operators import directory as R
+from matricula.operators.common import spread
 from workload.registry import query
 
 
@@ -37,7 +38,7 @@ def body_markup(x: str) -> str:
 
 @query("visible_text", "T15", f"select page_id, {tags_to_text(body_markup('html'))} as text from {{pages}}")
 def visible_text(t):
-    return t["pages"].select("page_id", H.visible_text(F.col("html")).alias("text"))
+    return spread(t["pages"]).select("page_id", H.visible_text(F.col("html")).alias("text"))
 
 
 _EXCERPT = f"""with b as (select page_id, {body_markup('html')} m from {{pages}}),
@@ -68,7 +69,7 @@ def _ordered_distinct(sql: str) -> str:
 
 @query("page_excerpts", "T16", _ordered_distinct(_EXCERPT))
 def page_excerpts(t):
-    return t["pages"].select("page_id", H.excerpt(F.col("html")).alias("excerpt"))
+    return spread(t["pages"]).select("page_id", H.excerpt(F.col("html")).alias("excerpt"))
 
 
 _ATTR = "regexp_extract(attrs, '(?is)(?:^|\\s){n}\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>]+)', 1)"

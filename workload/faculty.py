@@ -277,7 +277,7 @@ def grounded_extraction(t):
       nullif(trim(regexp_extract(text, '(?i)(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}(?:\s*(?:x|ext\.?)\s*\d{1,6})?')), '') phone from {documents}""",
 )
 def contacts_in_text(t):
-    return t["documents"].select(
+    return common.spread(t["documents"]).select(
         "doc_id",
         H.email_in_text(F.col("text")).alias("email"),
         H.phone_in_text(F.col("text")).alias("phone"),

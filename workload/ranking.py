@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matricula import fixed_values as V
 from matricula.operators import ranking, reviews
+from matricula.operators.common import spread
 from workload.registry import query
 
 _WORD = r"(^|[^\p{L}\p{N}_])"
@@ -282,6 +283,6 @@ def feedback_loop_trace(t):
 def activity_subjects(t):
     from matricula.functions.text import activity_subjects as subjects
 
-    return t["v_activities"].select(
+    return spread(t["v_activities"]).select(
         "activity_id", F.array_join(subjects(F.col("text")), "|").alias("subjects")
     )
