@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matricula import fixed_values as V
 from matricula.functions import display, nested, numeric
-from matricula.functions.text import matches_any
+from matricula.functions.text import word_mask
 from matricula.operators.common import spread, top_n
 
 
@@ -176,22 +176,21 @@ def rank_majors(students: DataFrame) -> DataFrame:
     unfolded from an array literal.
     """
     text = F.lower(F.trim(F.coalesce("activities", F.lit(""))))
-    hits = F.array(
-        *[(text != "") & matches_any(text, pattern) for _, _, _, pattern, _ in V.MAJORS]
-    )
+    mask = word_mask(text, [pattern for _, _, _, pattern, _ in V.MAJORS])
     spec = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
+                F.lit(1 << i).cast("bigint").alias("bit"),
                 F.array(*[F.lit(c) for c in courses]).alias("courses"),
                 *[F.lit(a).alias(k) for k, a in zip(("people", "applied", "creative"), axes)],
             )
-            for name, courses, axes, _, _ in V.MAJORS
+            for i, (name, courses, axes, _, _) in enumerate(V.MAJORS)
         ]
     )
-    rows = spread(students).withColumn("_hits", hits).select(
-        "profile_id", "courses", "people", "applied", "creative", "_hits",
-        F.posexplode(spec).alias("_i", "m"),
+    rows = spread(students).withColumn("_mask", mask).select(
+        "profile_id", "courses", "people", "applied", "creative", "_mask",
+        F.explode(spec).alias("m"),
     )
     m = F.col("m")
     overlap = F.filter(m["courses"], lambda c: F.array_contains(F.col("courses"), c))
@@ -200,7 +199,7 @@ def rank_majors(students: DataFrame) -> DataFrame:
         m["name"].alias("major"),
         overlap.alias("overlap"),
         (F.size(overlap) / F.size(m["courses"])).alias("course_share"),
-        F.get("_hits", F.col("_i")).alias("hit"),
+        (F.col("_mask").bitwiseAND(m["bit"]) != 0).alias("hit"),
         numeric.axis_score(
             [F.col(k) for k in ("people", "applied", "creative")],
             [m[k] for k in ("people", "applied", "creative")],

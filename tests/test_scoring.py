@@ -1,5 +1,7 @@
 """Rubric components on edge rows, bounds, and agreement with a plain-Python rubric."""
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -112,7 +114,7 @@ def test_zero_weights_do_not_divide_by_zero(one):
 
 def test_activity_rules(one):
     first, none, case = one(
-        T.activity_subjects(L("robot research")), T.activity_subjects(L("xyz")),
+        T.subjects_of_mask(T.activity_mask(L("robot research"))), T.subjects_of_mask(T.activity_mask(L("xyz"))),
         T.activity_text(L("Chess"), L(""), L(None).cast("string")),
     )
     assert first == list(V.ACTIVITY_SUBJECTS[0][1]) and none == [] and case == "chess"
@@ -120,6 +122,16 @@ def test_activity_rules(one):
     assert lab == 2 and label == 0
 
 
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(parts=st.lists(st.sampled_from(
+    [w[i:j] for p, _ in V.ACTIVITY_SUBJECTS for w in [a.replace(r"\b", "") for a in p.split("|")] for i, j in ((0, 99), (1, 99), (0, -1))] + [" ", "é", "x"]
+), max_size=12))
+def test_one_pass_mask_equals_separate_searches(one, parts):
+    text = "".join(parts)
+    want = sum(1 << i for i, (p, _) in enumerate(V.ACTIVITY_SUBJECTS) if re.search(p, text))
+    assert one(T.activity_mask(L(text))) == (want,)
+
+
 ACTS = {0: ["robot club", "band"], 1: ["band"], 2: ["nothing here"], 5: ["code", "code", "varsity swim"]}
 
 

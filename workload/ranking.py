@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matricula import fixed_values as V
+from matricula.functions import text
 from matricula.operators import ranking, reviews
 from matricula.operators.common import spread
 from workload.registry import query
@@ -281,8 +282,9 @@ def feedback_loop_trace(t):
     ) + " else '' end subjects from {v_activities}) select activity_id, subjects from hit",
 )
 def activity_subjects(t):
-    from matricula.functions.text import activity_subjects as subjects
-
-    return spread(t["v_activities"]).select(
-        "activity_id", F.array_join(subjects(F.col("text")), "|").alias("subjects")
+    masked = spread(t["v_activities"]).select(
+        "activity_id", text.activity_mask(F.col("text")).alias("mask")
+    )
+    return masked.select(
+        "activity_id", F.array_join(text.subjects_of_mask(F.col("mask")), "|").alias("subjects")
     )
