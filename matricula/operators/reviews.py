@@ -122,21 +122,19 @@ def assemble(ranked: DataFrame, clean: DataFrame, catalog: DataFrame, profiles:
 
     `ranked` must hold every candidate that a review may keep.
     """
-    chosen = clean.select(
-        "profile_id",
-        F.posexplode_outer("keep_ids").alias("pos", "keep_id"),
-        "notes",
+    kept = clean.select("profile_id", F.posexplode("keep_ids").alias("pos", "id"), "notes")
+    rows = ranked.join(kept, ["profile_id", "id"]).select(
+        "profile_id", (F.col("pos") + 1).alias("position"), "id", "score", "notes"
     )
-    wanted = chosen.withColumn("fallback", F.col("keep_id").isNull())
-    rows = ranked.join(wanted, "profile_id").filter(
-        (F.col("fallback") & (F.col("rank") <= k)) | (F.col("id") == F.col("keep_id"))
+    none_kept = clean.filter(F.size("keep_ids") == 0).select("profile_id", "notes")
+    rows = rows.unionByName(
+        ranked.filter(F.col("rank") <= k)
+        .join(none_kept, "profile_id")
+        .select("profile_id", F.col("rank").alias("position"), "id", "score", "notes")
     )
     named = ranking.with_admit_tier(
         rows.select(
-            "profile_id",
-            F.when(F.col("fallback"), F.col("rank")).otherwise(F.col("pos") + 1).alias("position"),
-            "id",
-            "score",
+            "profile_id", "position", "id", "score",
             F.coalesce(
                 F.try_element_at("notes", F.col("id")), F.lit(V.DEFAULT_RATIONALE)
             ).alias("rationale"),

@@ -27,11 +27,12 @@ def build_session(master: str | None = None, app: str = "matricula", **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared `spark.checkpoint.dir`; set one only where it is unset (tests)."""
+    """Use the shared folder named by `spark.checkpoint.dir`; set one only where none is (tests)."""
     context = spark.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
+    if context.getCheckpointDir():
         return
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="matricula-ckpt-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="matricula-ckpt-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -269,18 +269,21 @@ def merged_duplicates(t):
     return merged.select("name", "first_id", F.posexplode("majors").alias("pos", "major"))
 
 
-@query(
-    "slug_dedupe",
-    "W3 T2",
-    """with s as (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') slug from {part})
-      select slug, min(p_partkey) p_partkey, (select count(*) - count(distinct slug) from s) duplicate_slugs from s group by slug""",
-)
+_SLUGS = "with s as (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') slug from {part})"
+
+
+def _slugged(t):
+    return t["part"].select("p_partkey", text.slugify(F.col("p_name")).alias("slug"))
+
+
+@query("slug_dedupe", "W3 T2", _SLUGS + " select slug, min(p_partkey) p_partkey from s group by slug")
 def slug_dedupe(t):
-    rows = t["part"].select("p_partkey", text.slugify(F.col("p_name")).alias("slug"))
-    firsts = C.dedupe_by_slug(rows, seq="p_partkey")
-    # a one-row count next to the kept rows
-    total = C.duplicate_slugs(rows).withColumn("j", F.lit(1))
-    return firsts.withColumn("j", F.lit(1)).join(total, "j").drop("j")
+    return C.dedupe_by_slug(_slugged(t), seq="p_partkey")
+
+
+@query("duplicate_slugs", "W3", _SLUGS + " select count(*) - count(distinct slug) duplicate_slugs from s")
+def duplicate_slugs(t):
+    return C.duplicate_slugs(_slugged(t))
 
 
 @query(
