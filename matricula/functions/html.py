@@ -132,20 +132,13 @@ def phone_in_text(text: Column) -> Column:
 
 
 def first_mailto(links: Column) -> Column:
-    found = F.filter(
-        F.transform(
-            F.filter(links, lambda a: F.lower(a["href"]).startswith("mailto:")),
-            lambda a: F.try_url_decode(
-                F.replace(
-                    F.trim(F.substring_index(F.substring(a["href"], 8, 1 << 20), "?", 1)),
-                    F.lit("+"),
-                    F.lit("%2B"),
-                )
-            ),
-        ),
-        lambda m: m != "",
-    )
-    return F.get(found, F.lit(0))
+    def address(link: Column) -> Column:
+        raw = F.trim(F.substring_index(F.substring(link["href"], 8, 1 << 20), "?", 1))
+        # a plus sign is literal here; a broken escape keeps the text as written
+        return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+
+    mails = F.filter(links, lambda a: F.lower(a["href"]).startswith("mailto:"))
+    return F.get(F.filter(F.transform(mails, address), lambda m: m != ""), F.lit(0))
 
 
 def first_tel(links: Column) -> Column:

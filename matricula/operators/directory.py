@@ -298,13 +298,42 @@ def rules_verdict(admitted: DataFrame) -> DataFrame:
     )
 
 
+def admitted_verdicts(verdicts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Verdicts after the rule table: refused URLs leave, none left means confidence 0.
+
+    Adds `all_admitted`. Each verdict's own short URL list is unfolded and put
+    back in its order.
+    """
+    flat = verdicts.select("school_id", F.posexplode("directory_urls").alias("pos", "url"))
+    judged = (
+        admit_by_rules(flat, rules)
+        .groupBy("school_id")
+        .agg(
+            F.array_sort(F.collect_list(F.when(F.col("admitted"), F.struct("pos", "url")))).alias("left"),
+            F.bool_and("admitted").alias("all_admitted"),
+        )
+    )
+    urls = F.coalesce(F.transform("left", lambda k: k["url"]), F.array().cast("array<string>"))
+    return verdicts.drop("directory_urls").join(judged, "school_id", "left").select(
+        "school_id",
+        urls.alias("directory_urls"),
+        "dropped",
+        F.when(F.size(urls) > 0, F.col("confidence")).otherwise(0.0).alias("confidence"),
+        "notes",
+        F.coalesce("all_admitted", F.lit(True)).alias("all_admitted"),
+    )
+
+
 def directory_rows(
     schools: DataFrame, candidates: DataFrame, clusters: DataFrame, verdicts: DataFrame
 ) -> DataFrame:
     """One directory row per school: verdict, else profile cluster, else nothing found.
 
-    clusters: `largest_cluster` rows; verdicts: `trusted_proposals` rows.
+    clusters: `largest_cluster` rows; verdicts: `trusted_proposals` rows, or
+    those rows after `admitted_verdicts`.
     """
+    if "all_admitted" not in verdicts.columns:
+        verdicts = verdicts.withColumn("all_admitted", F.lit(True))
     src = F.col("source")
     used = candidates.groupBy("school_id").agg(
         *[F.bool_or(src == s).alias(f"u_{s}") for s in ("sitemap", "department", "heuristic", "search")],
@@ -327,6 +356,27 @@ def directory_rows(
             .otherwise(F.array().cast("array<string>"))
             .alias("directory_urls"),
             F.col("n").alias("n_profile_urls"),
+            (~has | F.coalesce("all_admitted", F.lit(True))).alias("rules_allowed"),
+            F.when(
+                has,
+                F.nullif(
+                    F.concat_ws(
+                        "; ",
+                        "notes",
+                        F.when(
+                            F.col("dropped") > 0,
+                            F.format_string(
+                                "dropped %d proposed URL(s) not in the candidate set", F.col("dropped")
+                            ),
+                        ),
+                        F.when(~F.col("all_admitted"), "one or more chosen URLs were dropped by rule"),
+                    ),
+                    F.lit(""),
+                ),
+            )
+            .when(cluster, "profile URLs found in the sitemap; no directory page resolved")
+            .otherwise("no candidate directory URL resolved")
+            .alias("notes"),
             F.when(~has & cluster, "sitemap").otherwise(label).alias("discovery_method"),
             F.when(has, F.coalesce("confidence", F.lit(0.0)))
             .when(cluster, F.lit(V.CLUSTER_ONLY_CONFIDENCE))

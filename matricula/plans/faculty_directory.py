@@ -11,25 +11,45 @@ from matricula.operators import directory as R
 from matricula.operators import faculty as Y
 
 
+def _walked(directories: DataFrame, pages: DataFrame) -> DataFrame:
+    """school_id, url, ord from a walk; `ord` is the place where a URL was first seen."""
+    found, _ = R.walk_directories(directories, pages)
+    place = F.struct(
+        F.col("at")["page_ord"].alias("a"), F.col("at")["pos"].cast("bigint").alias("b"), F.lit("").alias("c")
+    )
+    return found.select("school_id", F.col("norm").alias("url"), place.alias("ord"))
+
+
 def enumerate_profiles(
     directories: DataFrame, pages: DataFrame, clusters: DataFrame, ledger: DataFrame,
-    cap: int = V.MAX_PROFILES_PER_SCHOOL,
+    cap: int = V.MAX_PROFILES_PER_SCHOOL, rendered: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(profile URLs to fetch, counts). A sitemap cluster replaces the walk for its school.
 
     directories(school_id, url, ord); clusters(school_id, url): cluster members.
+    `rendered`, a second page table, is walked for schools that came up empty or
+    look cut off after one letter; its links are added behind the first set.
     """
     covered = clusters.select("school_id").distinct()
-    walked, _ = R.walk_directories(directories.join(covered, "school_id", "left_anti"), pages)
-    listed = walked.select(
-        "school_id", F.col("norm").alias("profile_url"),
-        F.struct(F.col("at")["page_ord"].alias("a"), F.col("at")["pos"].cast("bigint").alias("b"), F.lit("").alias("c")).alias("ord"),
-    )
+    zero = F.lit(0).cast("bigint")
     mapped = clusters.select(
-        "school_id", U.normalize_url(F.col("url")).alias("profile_url"),
-        F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("url").alias("c")).alias("ord"),
+        "school_id", U.normalize_url(F.col("url")).alias("url"),
+        F.struct(zero.alias("a"), zero.alias("b"), F.col("url").alias("c")).alias("ord"),
+    )
+    listed = _walked(directories.join(covered, "school_id", "left_anti"), pages).unionByName(mapped)
+    if rendered is not None:
+        full = (
+            Y.partial_schools(listed.select("school_id", F.col("url").alias("profile_url")))
+            .filter(~F.col("partial"))
+            .select("school_id")
+        )
+        again = _walked(directories.join(full, "school_id", "left_anti"), rendered)
+    else:
+        again = listed.limit(0)
+    merged = R.merge_links(listed, again)
+    urls = merged.select(
+        "school_id", F.col("url").alias("profile_url"), F.struct("src", "ord").alias("ord")
     )
-    urls = listed.unionByName(mapped).groupBy("school_id", "profile_url").agg(F.min("ord").alias("ord"))
     return R.cap_new(urls, ledger, cap)
 
 

@@ -67,18 +67,15 @@ def read_json_lines_tolerant(
     spark: SparkSession, path: str, schema: str, rules: Mapping[str, Column] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows, one-row count of malformed ones). Broken rules count as malformed."""
-    raw = (
-        spark.read.schema(f"{schema}, _corrupt string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json(
+        "value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
-    checked = with_violations(raw, rules or {"parsed": F.lit(True)})
+    raw = lines.select(parsed.alias("r")).select("r.*")
+    checked = with_violations(raw, rules) if rules else raw.withColumn("violations", F.array())
     ok = F.col("_corrupt").isNull() & (F.size("violations") == 0)
     good = checked.filter(ok).drop("_corrupt", "violations")
-    # The corrupt column is read beside a real one: a query of that column alone is rejected.
-    bad = checked.agg(F.count_if(~ok).alias("malformed"), F.count(F.lit(1)).alias("lines"))
-    return good, bad.select("malformed")
+    return good, checked.agg(F.count_if(~ok).alias("malformed"))
 
 
 def read_editorial_js(spark: SparkSession, path: str) -> DataFrame:

@@ -194,6 +194,19 @@ def test_cap_counts_only_new_urls(spark):
     assert got == {"s": (2, 3, 5), "t": (0, 1, 0)}
 
 
+def test_hot_keys_are_cut_before_the_shuffle(spark):
+    """Half of all rows under one school: the rank filter runs on both sides of the exchange."""
+    urls = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("school_id"),
+        F.col("id").cast("string").alias("profile_url"), F.col("id").alias("ord"),
+    )
+    ledger = spark.createDataFrame([], "profile_url string, status string")
+    chosen, counts = R.cap_new(urls, ledger, 5)
+    assert chosen._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    assert counts.filter("school_id = 'hot'").select("attempted", "cap_skipped").first() == (5, 1995)
+    assert chosen.filter("school_id = 'hot'").count() == 5
+
+
 def test_merge_keeps_first_order(spark):
     a = spark.createDataFrame([("s", "x", 0), ("s", "y", 1)], "school_id string, url string, ord int")
     b = spark.createDataFrame([("s", "y", 0), ("s", "z", 1)], "school_id string, url string, ord int")
@@ -217,3 +230,24 @@ def test_untrusted_urls_are_dropped_and_counted(spark):
     assert (got["s"]["directory_urls"], got["s"]["dropped"], got["s"]["confidence"], got["s"]["notes"]) == (["b", "a"], 1, 1.0, "ok")
     assert (got["t"]["directory_urls"], got["t"]["dropped"], got["t"]["confidence"]) == ([], 1, 0.0)
     assert (got["u"]["directory_urls"], got["u"]["dropped"], got["u"]["confidence"]) == ([], 0, 0.0)
+
+
+def test_directory_rows_after_rules(spark):
+    schools = spark.createDataFrame([("s",), ("t",), ("u",)], "school_id string")
+    cands = spark.createDataFrame(
+        [("s", "https://s.edu/a", "heuristic"), ("s", "https://s.edu/b", "search"), ("t", "https://t.edu/a", "sitemap")],
+        "school_id string, url string, source string",
+    )
+    props = spark.createDataFrame(
+        [("s", ["https://s.edu/b", "https://s.edu/a", "x"], "0.8", "ok"), ("t", ["https://t.edu/a"], "0.7", None)],
+        "school_id string, directory_urls array<string>, confidence string, notes string",
+    )
+    rules = spark.createDataFrame([("s.edu", "/a", False, 1), ("t.edu", "/", False, 1)], "host string, prefix string, allow boolean, ord int")
+    none = spark.createDataFrame([("u", "p", 7)], "school_id string, parent string, n bigint")
+    verdicts = R.admitted_verdicts(R.trusted_proposals(props, cands), rules)
+    rows = {r["school_id"]: r for r in R.directory_rows(schools, cands, none, verdicts).collect()}
+    s, t, u = rows["s"], rows["t"], rows["u"]
+    assert (s["directory_urls"], s["confidence"], s["rules_allowed"], s["discovery_method"]) == (["https://s.edu/b"], 0.8, False, "heuristic+search")
+    assert s["notes"] == "ok; dropped 1 proposed URL(s) not in the candidate set; one or more chosen URLs were dropped by rule"
+    assert (t["directory_urls"], t["confidence"], t["rules_allowed"]) == ([], 0.0, False)
+    assert (u["discovery_method"], u["confidence"], u["n_profile_urls"], u["rules_allowed"]) == ("sitemap", 0.9, 7, True)

@@ -106,6 +106,22 @@ def test_cluster_replaces_the_walk(spark):
     assert {r["school_id"]: r["cap_skipped"] for r in counts.collect()} == {"a": 0, "b": 1}
 
 
+def test_rendered_pages_extend_a_cut_off_listing(spark):
+    link = lambda names: "<html>" + "".join(f'<a href="/people/{n}">{n.replace("-", " ")}</a>' for n in names)
+    base = [f"https://{h}.edu/faculty" for h in ("part", "full", "none")]
+    static = spark.createDataFrame([(base[0], 200, link(A_NAMES)), (base[1], 200, link(MIXED)), (base[2], 200, "<html>")], "url string, status int, body string")
+    rendered = spark.createDataFrame([(u, 200, link([*A_NAMES, "zed-zu"])) for u in base], "url string, status int, body string")
+    dirs = spark.createDataFrame([(h, u, 0) for h, u in zip(("part", "full", "none"), base)], "school_id string, url string, ord int")
+    no_cluster = spark.createDataFrame([], "school_id string, url string")
+    ledger = spark.createDataFrame([], "profile_url string, status string")
+    chosen, _ = enumerate_profiles(dirs, static, no_cluster, ledger, rendered=rendered)
+    got = {}
+    for r in chosen.collect():
+        got.setdefault(r["school_id"], []).append((r["rank"], r["profile_url"].rsplit("/", 1)[1]))
+    assert [n for _, n in sorted(got["part"])] == [*A_NAMES, "zed-zu"]
+    assert [n for _, n in sorted(got["full"])] == MIXED and len(got["none"]) == 9
+
+
 def test_institution_needs_an_agreeing_homepage(spark):
     schools = spark.createDataFrame(
         [("k", "Berklee College", "https://www.berklee.edu"), ("i", "Indiana University", "indiana.edu"), ("n", "No Home", None), ("z", "None", "z.edu")],

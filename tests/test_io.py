@@ -52,6 +52,8 @@ def test_json_lines(spark, tmp_path):
     p = put(tmp_path / "p.jsonl", LINES)
     good, bad = R.read_json_lines_tolerant(spark, p, schemas.PROFESSOR, validation.professor_rules())
     assert [r["professor_name"] for r in good.collect()] == ["A"] and bad.first()[0] == 2
+    unruled, bad = R.read_json_lines_tolerant(spark, p, schemas.PROFESSOR)
+    assert unruled.count() == 2 and bad.first()[0] == 1
     with pytest.raises(Exception):
         R.read_json_lines(spark, p, schemas.PROFESSOR).collect()
     assert R.read_json_lines(spark, put(tmp_path / "q.jsonl", LINES.split("\n")[0] + "\n\n"), schemas.PROFESSOR).count() == 1

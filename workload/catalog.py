@@ -318,7 +318,7 @@ def catalog_statistics(t):
 )
 def stale_catalog_ids(t):
     catalog = t["v_universities"].filter("setting <> 'rural'")
-    return C.stale_ids(t["v_universities"], catalog, min_rows=50)
+    return C.stale_ids(t["v_universities"], catalog)
 
 
 @query(

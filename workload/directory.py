@@ -303,7 +303,7 @@ def truncated_listings(t):
       fresh as (select * from urls u where not exists (select 1 from {v_ledger} l where l.profile_url = u.profile_url and status = 'done')),
       t as (select school_id, count(*) listed from urls group by 1), n as (select school_id, count(*) as new from fresh group by 1)
       select t.school_id, listed - coalesce(new, 0) already_done, least(coalesce(new, 0), 20) attempted, greatest(coalesce(new, 0) - 20, 0) cap_skipped,
-        (select sum(ord) from (select ord, row_number() over (partition by school_id order by ord, profile_url) rn from fresh f where f.school_id = t.school_id) where rn <= 20) checksum
+        (select cast(sum(ord) as bigint) from (select ord, row_number() over (partition by school_id order by ord, profile_url) rn from fresh f where f.school_id = t.school_id) where rn <= 20) checksum
       from t left join n on n.school_id = t.school_id""",
 )
 def capped_fetch_list(t):
@@ -424,7 +424,8 @@ def cluster_only_directories(t):
         none.select("school_id", F.array("url").alias("directory_urls"), F.lit("0").alias("confidence"), F.lit("").alias("notes")), none
     )
     clusters = R.largest_cluster(R.profile_clusters(t["v_site_urls"]))
-    return R.directory_rows(schools, none, clusters, verdicts).drop("directory_urls")
+    rows = R.directory_rows(schools, none, clusters, verdicts)
+    return rows.drop("directory_urls", "rules_allowed", "notes")
 
 
 # ------------------------------------------------------------------- walks --
