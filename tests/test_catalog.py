@@ -30,16 +30,16 @@ def scorecard(spark, *rows):
 def built(spark):
     t1 = tier1(
         spark,
-        dict(id="a", name="Agnes Scott", country="USA", net_price=100.0),
+        dict(id="a", name="Cedar Hill", country="USA", net_price=100.0),
         dict(id="b", name="Beta", country="USA", enrollment_editorial=20000.0),
-        dict(id="c", name="Agnes Scott", country="Canada"),
+        dict(id="c", name="Cedar Hill", country="Canada"),
         dict(id="d", name="Aliased", country="USA"),
     )
     sc = scorecard(
         spark,
-        dict(INSTNM="Agnes Scott", UNITID="1", SAT_AVG="1200.9", ADM_RATE="0.5", UGDS="900", STABBR="GA", NPT4_PUB="NULL", NPT4_PRIV="-1",
+        dict(INSTNM="Cedar Hill", UNITID="1", SAT_AVG="1200.9", ADM_RATE="0.5", UGDS="900", STABBR="GA", NPT4_PUB="NULL", NPT4_PRIV="-1",
              PCIP11="0.12345", PCIP14="0", PCIP52="0.9", UGDS_WOMEN="1.0"),
-        dict(INSTNM="agnes scott", UNITID="2"),
+        dict(INSTNM="cedar hill", UNITID="2"),
         dict(INSTNM="Real Name", UNITID="3", NPT4_PRIV="7"),
     )
     aliases = spark.createDataFrame([("Aliased", "Real Name")], "name string, alias string")

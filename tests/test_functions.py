@@ -39,10 +39,10 @@ def test_clamps_guard_null(one):
 @pytest.mark.parametrize(
     "a,b",
     [
-        ("University of California, Berkeley", "University of California-Berkeley"),
-        ("University of Wisconsin–Madison", "University of Wisconsin-Madison"),
-        ("Ohio State University-Main Campus", "The Ohio State University"),
-        ("University of Texas at Austin", "University of Texas Austin"),
+        ("University of Freedonia, Lakeside", "University of Freedonia-Lakeside"),
+        ("University of Sylvania–Hilltop", "University of Sylvania-Hilltop"),
+        ("Plains State University-Main Campus", "The Plains State University"),
+        ("University of Arcadia at Bay", "University of Arcadia Bay"),
     ],
 )
 def test_names_meet_on_one_key(one, a, b):
@@ -62,9 +62,9 @@ def test_slugs(one):
 
 def test_match_name_and_same_name(one):
     assert one(
-        T.match_name(L("Rosemary Lévy Zumwalt (American writer)")), T.match_name(L("O'Neil-Smith")),
+        T.match_name(L("Inès Béla Martí (a poet)")), T.match_name(L("O'Neil-Smith")),
         T.institution_key(L("Univ. of  X")), T.institution_key(L("")),
-    ) == ("rosemary levy zumwalt", "o neil smith", "univ of x", None)
+    ) == ("ines bela marti", "o neil smith", "univ of x", None)
 
 
 @pytest.mark.parametrize(
@@ -79,11 +79,11 @@ def test_classify_role(one, title, expected):
 
 @pytest.mark.parametrize(
     "name,school,expected",
-    [("Ann Lee | Agnes Scott College", "Agnes Scott College", "Ann Lee"),
-     ("Ann Lee - Agnes Scott", "Agnes Scott College", "Ann Lee"),
-     ("Ann Lee: The Agnes Scott College Site", "Agnes Scott College", "Ann Lee"),
-     ("Ann Lee - Poet", "Agnes Scott College", "Ann Lee - Poet"),
-     (" | Agnes Scott College", "Agnes Scott College", None),
+    [("Ann Lee | Cedar Hill College", "Cedar Hill College", "Ann Lee"),
+     ("Ann Lee - Cedar Hill", "Cedar Hill College", "Ann Lee"),
+     ("Ann Lee: The Cedar Hill College Site", "Cedar Hill College", "Ann Lee"),
+     ("Ann Lee - Poet", "Cedar Hill College", "Ann Lee - Poet"),
+     (" | Cedar Hill College", "Cedar Hill College", None),
      ("  ", "X", None)],
 )
 def test_strip_boilerplate(one, name, school, expected):
@@ -112,7 +112,7 @@ def test_normalize_url(one, url, expected):
 
 @pytest.mark.parametrize(
     "url,expected",
-    [("https://home.dartmouth.edu/x", "dartmouth.edu"), ("www.ox.ac.uk", "ox.ac.uk"), ("cs.ox.ac.uk/", "ox.ac.uk"),
+    [("https://home.cedar.edu/x", "cedar.edu"), ("www.elm.ac.uk", "elm.ac.uk"), ("cs.elm.ac.uk/", "elm.ac.uk"),
      ("localhost", "localhost"), ("", None), (None, None), ("https://a.b.edu:8080/", "b.edu")],
 )
 def test_registrable_domain(one, url, expected):
