@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,12 +29,20 @@ def build_session(master: str | None = None, app: str = "matricula", **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by `spark.checkpoint.dir`; set one only where none is (tests)."""
+    """Use the shared folder named by `spark.checkpoint.dir`.
+
+    Where none is set, a single-machine session (master `local`, as in tests) gets a
+    folder of its own; on a cluster that would scatter the files, so it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="matricula-ckpt-"))
+    if not shared:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="matricula-ckpt-")
+    context.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
