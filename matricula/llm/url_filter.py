@@ -21,6 +21,7 @@ BITS_PER_KEY = 16
 #: Largest filter: 32,768 blocks of 256 bits. It is broadcast, so its size has this bound whatever
 #: the list holds; a longer list only makes more false positives, which the exact join removes.
 MAX_BLOCKS = 1 << 15
+SALTS = 32
 WORDS = range(4)  # of 64 bits in a block; a key sets two bits in each
 
 
@@ -89,7 +90,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .select("host", "path", F.expr("substring_index(host, '.', -s.labels) || substring(path, 1, s.chars)").alias("key"))
     )
     hits = possible_hits(candidates, bloom_blocks(listed, blocks), blocks)
-    exact = hits.join(listed.select("key", "verdict").hint("shuffle_hash"), "key")
+    # one short key may fit a third of all urls: the urls are salted and the list repeated for each salt
+    salted = hits.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    exact_keys = listed.select("key", "verdict", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    exact = salted.join(exact_keys.hint("shuffle_hash"), ["key", "salt"])
     # the longest key wins; two keys of one length differ in the host part, and the longer host wins
     rank = F.struct(F.length("key"), -F.instr("key", "/"), F.col("key"), F.col("verdict"))
     best = exact.groupBy("host", "path").agg(F.max(rank).alias("best")).select(
