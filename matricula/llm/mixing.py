@@ -168,7 +168,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
         F.greatest(F.lit(0), F.least("size", F.col("part") - F.col("at"))))
     copies = copies.select(
         "doc", "row", "size", "source_size", "target", "key", F.coalesce("c.pass", F.lit(0)).alias("pass"),
-        F.coalesce(words, F.lit(0)).cast("long").alias("words"), F.col("c.shard").alias("shard"))
+        F.when(F.col("c").isNull(), F.lit(0)).otherwise(words).cast("long").alias("words"), F.col("c.shard").alias("shard"))
     local = Window.partitionBy("shard", F.when(F.col("shard").isNull(), F.col("key"))).orderBy(
         F.md5(F.concat_ws(":", F.lit(seed), "shard", "pass", "key")), "row.nth")
     return copies.select(
