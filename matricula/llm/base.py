@@ -91,3 +91,10 @@ def read_stream(uri: str):
 def read_random(uri: str):
     store, path = _store(uri)
     return store.open_input_file(path)
+
+
+def bound_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Texts go to Python workers at most `rows` at a time, so that a batch of long ones stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
