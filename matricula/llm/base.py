@@ -93,8 +93,6 @@ def read_random(uri: str):
     return store.open_input_file(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts go to Python workers at most `rows` at a time, so that a batch of long ones stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+    """Rows go to Python workers in batches of at most `limit` bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
