@@ -1,4 +1,4 @@
 """Loads every operator module, so that base.QUERIES and base.ORACLES are complete."""
 
-from matricula.llm import mixing, packing, quality, simhash, topk, toxicity, url_filter, warc  # noqa: F401
+from matricula.llm import mixing, ngram_lm, packing, quality, simhash, topk, toxicity, url_filter, warc  # noqa: F401
 from matricula.llm.base import ORACLES, QUERIES  # noqa: F401
