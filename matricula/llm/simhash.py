@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -70,12 +70,9 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("the radius must be even: both sides emit half of it")
     emitted = fingerprints.select(
         "fingerprint", F.explode(variants(F.col("fingerprint"), radius // 2)).alias("variant"))
-    met = emitted.groupBy("variant").agg(
-        F.min("fingerprint").alias("a"), F.max("fingerprint").alias("z"), F.count(F.lit(1)).alias("n"))
-    # two that meet are known by their least and greatest; only values that more meet are looked at again
-    crowded = met.filter("n > 2").select("variant", "a")
-    more = emitted.join(crowded, "variant").filter("fingerprint <> a").select("a", F.col("fingerprint").alias("b"))
-    edges = met.filter("n = 2").select("a", F.col("z").alias("b")).union(more).distinct()
+    # at a value meet at most as many fingerprints as it has variants
+    met = Window.partitionBy("variant")
+    edges = emitted.select(F.min("fingerprint").over(met).alias("a"), F.col("fingerprint").alias("b")).filter("a < b").distinct()
     return edges.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
