@@ -275,14 +275,59 @@ def sitemap_entries(t):
     return m.select("doc_url", "m.kind", F.explode("m.locs").alias("loc"))
 
 
-@query("sitemap_walk", "I3 W15")
+def _levels(cap: int) -> str:
+    """A queue-ordered walk in SQL, one pair of CTEs a level: the queued nodes and the visits among them.
+
+    Expects CTEs roots(school_id, node, ord, counted) and edges(school_id, src, pos, node, counted); leaves
+    queued(school_id, node, level, turn, counted) and visits(school_id, node, visit).
+    """
+    ctes = ["q0 as materialized (select school_id, node, 0 as level, {'p': 0::bigint, 'q': min(ord)::int} as turn, bool_or(counted) as counted from roots group by school_id, node)"]
+    for n in range(cap):
+        used = "0" if not n else "coalesce((select count(*) from (" + " union all ".join(
+            f"select school_id from w{i}" for i in range(n)) + f") u where u.school_id = q{n}.school_id), 0)"
+        ctes.append(
+            f"w{n} as materialized (select * from (select school_id, node, {used} + row_number() over (partition by school_id order by turn, node) as visit"
+            f" from q{n} where counted) where visit <= {cap})")
+        seen = " union all ".join(f"select school_id, node from q{i}" for i in range(n + 1))
+        ctes.append(
+            f"q{n + 1} as materialized (select e.school_id, e.node, {n + 1} as level, min({{'p': visit, 'q': pos::int}}) as turn, bool_or(counted) as counted"
+            f" from w{n} w join edges e on e.school_id = w.school_id and e.src = w.node"
+            f" where not exists (select 1 from ({seen}) o where o.school_id = e.school_id and o.node = e.node) group by e.school_id, e.node)")
+    ctes.append("queued as (" + " union all ".join(f"select * from q{n}" for n in range(cap + 1)) + ")")
+    ctes.append("visits as (" + " union all ".join(f"select * from w{n}" for n in range(cap)) + ")")
+    ctes.append(
+        "last as (select school_id, max({'l': level, 'a': turn, 'n': node}) as place from queued join visits using (school_id, node) group by school_id)")
+    ctes.append(
+        "walked as (select q.school_id, count(v.visit) as n, bool_or(v.visit is null and (l.place is null or {'l': q.level, 'a': q.turn, 'n': q.node} > l.place)) as remaining"
+        " from queued q left join visits v using (school_id, node) left join last l on l.school_id = q.school_id group by q.school_id)")
+    return ",\n".join(ctes)
+
+
+_SITEMAP_WALK = f"""
+with docs as (select school_key as school_id, doc_url, status, body, ord from {{v_sitemaps}}),
+roots as (select school_id, arg_min(doc_url, ord) as node, 0 as ord, true as counted from docs group by school_id),
+locs as (
+  select doc_url as src, contains(body, '<sitemapindex') as is_index, unnest(l) as loc, generate_subscripts(l, 1) - 1 as pos
+  from (select doc_url, body, [trim(x) for x in regexp_extract_all(body, '<loc>([^<]*)</loc>', 1) if trim(x) <> ''] as l
+        from docs where status = 200 and not ends_with(body, 'broken'))),
+edges as (select r.school_id, src, pos, loc as node, true as counted from locs, (select distinct school_id from docs) r where is_index),
+{_levels(V.MAX_SITEMAP_DOCUMENTS)},
+found as (select v.school_id, l.loc as url, v.visit as doc_ord, l.pos from visits v join locs l on l.src = v.node where not is_index)
+select w.school_id, w.n as documents_tried, (select count(*) from found f where f.school_id = w.school_id) as urls,
+       w.remaining as truncated, f.url, f.doc_ord, f.pos::int as pos
+from walked w left join found f on f.school_id = w.school_id
+"""
+
+
+@query("sitemap_walk", "I3 W15", _SITEMAP_WALK)
 def sitemap_walk(t):
+    """Each school's summary beside every URL found, in order."""
     docs = t["v_sitemaps"]
     seeds = docs.groupBy("school_key").agg(F.min(F.struct("ord", "doc_url")).alias("s")).select(
         F.col("school_key").alias("school_id"), F.col("s")["doc_url"].alias("doc_url"), F.lit(0).alias("ord")
     )
-    _, summary = R.read_sitemaps(seeds, docs)
-    return summary
+    urls, summary = R.read_sitemaps(seeds, docs)
+    return summary.join(urls, "school_id", "left")
 
 
 @query(
@@ -437,10 +482,31 @@ def _entrypoints(t):
     )
 
 
-@query("directory_walk", "I2 W14")
+_DIRECTORY_WALK = f"""
+with listing as (select 's' || school_key as school_id, ord as k, url as node, status from {{v_listing_pages}}),
+roots as (select school_id, arg_min(node, k) as node, 0 as ord, true as counted from listing group by school_id),
+edges as (
+  select e.school_id, e.node as src, e.pos, e.target as node, l.node is not null as counted
+  from (select school_id, node, pos, regexp_replace(node, '[0-9]+$', '') || (k + step) as target
+        from listing, (values (1, 5), (2, 11)) s(pos, step) where status = 200) e
+  left join listing l on l.node = e.target),
+{_levels(V.MAX_DIRECTORY_PAGES)},
+seen as (
+  select v.school_id, l.node as page_url, v.visit,
+         unnest(['https://www.' || v.school_id || '.edu/people/customer-' || lpad(l.k::varchar, 9, '0'), 'https://www.' || v.school_id || '.edu/people/d' || substr(v.school_id, 2)]) as norm
+  from visits v join listing l on l.node = v.node and l.status = 200),
+found as (select school_id, norm, arg_min(page_url, visit) as page_url from seen group by school_id, norm)
+select w.school_id, w.n as pages_visited, (select count(*) from found f where f.school_id = w.school_id) as profiles,
+       w.n >= {V.MAX_DIRECTORY_PAGES} and w.remaining as page_cap_hit, f.norm, f.page_url
+from walked w left join found f on f.school_id = w.school_id
+"""
+
+
+@query("directory_walk", "I2 W14", _DIRECTORY_WALK)
 def directory_walk(t):
-    _, summary = R.walk_directories(_entrypoints(t), t["v_listing_pages"])
-    return summary
+    """Each school's summary beside every profile link found and the page that showed it first."""
+    found, summary = R.walk_directories(_entrypoints(t), t["v_listing_pages"])
+    return summary.join(found.drop("at"), "school_id", "left")
 
 
 @query(
@@ -456,7 +522,18 @@ def first_seen_pages(t):
     return R.first_pages(found).drop("at")
 
 
-@query("department_walk", "I4")
+_DEPARTMENT_WALK = """
+with firsts as (
+  select c_nationkey as k, min(c_custkey) as a, max(c_custkey) as b,
+         list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) as place
+  from {customer} group by c_nationkey, c_mktsegment),
+best as (select k, arg_min(a, place) as a, arg_min(b, place) as b from firsts where place is not null group by k),
+people as (select k, a as c, 1 as ord from best union all select k, b, 2 from best where a <> b)
+select 's' || k as school_id, 'https://www.s' || k || '.edu/department/' || c || '/people' as url, ord from people
+"""
+
+
+@query("department_walk", "I4", _DEPARTMENT_WALK)
 def department_walk(t):
     """Departments and people pages built from the listing hosts."""
     k = F.col("c_nationkey").cast("string")
