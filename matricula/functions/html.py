@@ -53,8 +53,8 @@ def visible_text(html: Column) -> Column:
     return tags_to_text(body_markup(html))
 
 
-def excerpt(html: Column, max_chars: int = V.EXCERPT_MAX_CHARS) -> Column:
-    """Headings, then link texts, then the remaining text; the cut is the feature."""
+def excerpt(html: Column, max_chars: int | None = None) -> Column:
+    """Headings, then link texts, then the remaining text; the first `max_chars` of it, if given."""
     markup = body_markup(html)
 
     def texts(pattern: str, group: int) -> Column:
@@ -63,16 +63,13 @@ def excerpt(html: Column, max_chars: int = V.EXCERPT_MAX_CHARS) -> Column:
 
     headings, links = texts(_HEADING, 1), texts(_ANCHOR, 2)
     rest = tags_to_text(F.regexp_replace(F.regexp_replace(markup, _HEADING, " "), _ANCHOR, " "))
-    return F.substring(
-        F.concat_ws(
-            "\n",
-            F.when(F.size(headings) > 0, F.concat(F.lit("Headings: "), F.array_join(headings, " | "))),
-            F.when(F.size(links) > 0, F.concat(F.lit("Links: "), F.array_join(links, " | "))),
-            F.when(rest != "", F.concat(F.lit("Text: "), rest)),
-        ),
-        1,
-        max_chars,
+    whole = F.concat_ws(
+        "\n",
+        F.when(F.size(headings) > 0, F.concat(F.lit("Headings: "), F.array_join(headings, " | "))),
+        F.when(F.size(links) > 0, F.concat(F.lit("Links: "), F.array_join(links, " | "))),
+        F.when(rest != "", F.concat(F.lit("Text: "), rest)),
     )
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -107,7 +104,7 @@ def usable_href(href: Column) -> Column:
 
 
 def looks_like_html(body: Column) -> Column:
-    return F.lower(F.substring(body, 1, 2000)).rlike("<html|<body|<!doctype html")
+    return F.lower(body).rlike("<html|<body|<!doctype html")
 
 
 def soft_404(body: Column) -> Column:
@@ -133,7 +130,7 @@ def phone_in_text(text: Column) -> Column:
 
 def first_mailto(links: Column) -> Column:
     def address(link: Column) -> Column:
-        raw = F.trim(F.substring_index(F.substring(link["href"], 8, 1 << 20), "?", 1))
+        raw = F.trim(F.substring_index(link["href"].substr(F.lit(8), F.length(link["href"])), "?", 1))
         # a plus sign is literal here; a broken escape keeps the text as written
         return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
 
@@ -145,7 +142,7 @@ def first_tel(links: Column) -> Column:
     found = F.filter(
         F.transform(
             F.filter(links, lambda a: F.lower(a["href"]).startswith("tel:")),
-            lambda a: F.trim(F.substring(a["href"], 5, 1 << 20)),
+            lambda a: F.trim(a["href"].substr(F.lit(5), F.length(a["href"]))),
         ),
         lambda t: t != "",
     )

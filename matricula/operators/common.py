@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,31 +11,31 @@ from pyspark.sql import functions as F
 from matricula.session import cut_lineage
 
 
-def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First n rows per key. The rank filter is pushed below the shuffle
-    (WindowGroupLimit), so a hot key ships at most n rows per task."""
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, rank: str = "rank") -> DataFrame:
+    """First n rows per key, or all rows with their rank without n. The rank filter is
+    pushed below the shuffle (WindowGroupLimit), so a hot key ships at most n rows per task."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(window))
+    return ranked if n is None else ranked.filter(F.col(rank) <= n)
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return top_n(df, keys, order, 1, "_first").drop("_first")
+def left_out(df: DataFrame, keys: Sequence[str], n: int | None, name: str = "left_out") -> DataFrame:
+    """Rows per key that a cut to n leaves out; 0 without n."""
+    total = F.count(F.lit(1))
+    return df.groupBy(*keys).agg((F.lit(0).cast("long") if n is None else F.greatest(total - n, F.lit(0))).alias(name))
 
 
-SPLIT_BYTES = 128 << 20
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    return top_n(df, keys, order, 1, "_first").drop("_first")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a compute-heavy scan at least one task per core.
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Deal the rows of a compute-heavy scan out to `parts` tasks, by default the session's setting
+    `spark.matricula.spread`; without either the scan's splits stay as they are.
 
-    A small table can sit in fewer file splits than there are cores, and then
-    one task does all the text work. Below one split per core (by the size the
-    planner knows) the rows are dealt out; a large table already has more splits
-    than cores and is left alone, so nothing big is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    For small tables that sit in fewer splits than there are cores; large ones have splits enough."""
+    parts = parts or int(df.sparkSession.conf.get("spark.matricula.spread", "0"))
+    return df.repartition(parts) if parts else df
 
 
 def pending(items: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
@@ -72,58 +73,48 @@ def global_position(df: DataFrame, order: Sequence[Column], name: str = "positio
 def breadth_first(
     roots: DataFrame,
     edges: DataFrame,
-    cap: int,
+    cap: int | None = None,
     admit: Callable[[DataFrame], DataFrame] = lambda reached: reached,
 ) -> DataFrame:
     """Queue-ordered walk from many roots at once, at most `cap` visits per school.
 
     roots(school_id, node, ord, counted); edges(src, pos, node, counted). A node
     that does not count (it is not there to be visited) takes no share of the
-    cap and leads nowhere. One round is one level of the walk: the frontier is
-    ranked in queue order, cut to what is left of the cap, joined to its edges,
-    and stripped of nodes already queued. Each round checkpoints the one state
-    table, so the plan stays short.
+    cap and leads nowhere. One round is one level of the walk: the nodes newly
+    reached are ranked in queue order, cut to what is left of the cap, and joined
+    to their edges; nodes already queued are dropped. A round checkpoints its own
+    level alone, and the levels are put together at the end. Without `cap` the
+    walk ends where no new node is reached.
 
     Returns school_id, node, visit (null when not visited), remaining (still in
     the queue at the end).
     """
+    key = ["school_id", "node"]
+
+    def visited(reached: DataFrame, level: int, before: list[DataFrame]) -> DataFrame:
+        """The level's nodes with their visit numbers, which follow those of the levels before."""
+        turn = F.row_number().over(Window.partitionBy("school_id", "counted").orderBy("at", "node"))
+        if before:
+            used = reduce(DataFrame.unionByName, before).groupBy("school_id").agg(F.count("visit").alias("used"))
+            reached = reached.join(used, "school_id", "left")
+            turn = turn + F.coalesce("used", F.lit(0))
+        fits = F.col("counted") if cap is None else F.col("counted") & (turn <= cap)
+        return cut_lineage(reached.select(
+            *key, F.lit(level).alias("level"), "at", F.when(fits, turn.cast("bigint")).alias("visit")))
+
     at = F.struct(F.lit(0).cast("bigint").alias("p"), F.col("ord").cast("int").alias("q"))
-    state = cut_lineage(
-        roots.groupBy("school_id", "node").agg(F.min(at).alias("at"), F.bool_or("counted").alias("counted"))
-        .withColumns({"level": F.lit(0), "visit": F.lit(None).cast("bigint")})
-    )
-    for level in range(cap):
-        done = state.filter(F.col("visit").isNotNull())
-        used = done.groupBy("school_id").agg(F.count(F.lit(1)).alias("used"))
-        frontier = (
-            state.filter((F.col("level") == level) & F.col("counted"))
-            .join(used, "school_id", "left")
-            .withColumn("used", F.coalesce("used", F.lit(0)))
-        )
-        turn = F.col("rn") + F.col("used")
-        now = (
-            top_n(frontier, ["school_id"], [F.col("at"), F.col("node")], cap, "rn")
-            .filter(turn <= cap)
-            .select("school_id", "node", turn.cast("bigint").alias("turn"))
-        )
-        reached = admit(
-            now.select("school_id", F.col("node").alias("src"), "turn").join(edges, "src")
-        )
+    start = roots.groupBy(*key).agg(F.min(at).alias("at"), F.bool_or("counted").alias("counted"))
+    levels = [visited(start, 0, [])]
+    while not (now := levels[-1].filter(F.col("visit").isNotNull())).isEmpty():
+        reached = admit(now.select("school_id", F.col("node").alias("src"), F.col("visit").alias("turn")).join(edges, "src"))
         fresh = (
-            reached.groupBy("school_id", "node")
-            .agg(
-                F.min(F.struct(F.col("turn").alias("p"), F.col("pos").cast("int").alias("q"))).alias("at"),
-                F.bool_or("counted").alias("counted"),
-            )
-            .join(state.select("school_id", "node"), ["school_id", "node"], "left_anti")
-            .withColumns({"level": F.lit(level + 1), "visit": F.lit(None).cast("bigint")})
-        )
-        kept = state.join(now, ["school_id", "node"], "left").withColumn(
-            "visit", F.coalesce("visit", "turn")
+            reached.groupBy(*key)
+            .agg(F.min(F.struct(F.col("turn").alias("p"), F.col("pos").cast("int").alias("q"))).alias("at"),
+                 F.bool_or("counted").alias("counted"))
+            .join(reduce(DataFrame.unionByName, levels).select(*key), key, "left_anti")
         )
-        state = cut_lineage(kept.select(*state.columns).unionByName(fresh))
-        if state.filter(F.col("level") == level + 1).isEmpty():
-            break
+        levels.append(visited(fresh, len(levels), levels))
+    state = reduce(DataFrame.unionByName, levels)
     place = F.struct("level", "at", "node")
     last = state.filter(F.col("visit").isNotNull()).groupBy("school_id").agg(F.max(place).alias("last"))
     return state.join(last, "school_id", "left").select(

@@ -14,7 +14,7 @@ from matricula.functions import html as H
 from matricula.functions import numeric as N
 from matricula.functions import text as T
 from matricula.functions import urls as U
-from matricula.operators.common import breadth_first, pending, spread, top_n
+from matricula.operators.common import breadth_first, left_out, pending, spread, top_n
 from matricula.session import cut_lineage
 
 
@@ -124,7 +124,7 @@ def merge_links(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
-def cap_new(urls: DataFrame, ledger: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+def cap_new(urls: DataFrame, ledger: DataFrame, cap: int | None) -> tuple[DataFrame, DataFrame]:
     """(urls to fetch, counts per school). Finished URLs do not use up the cap.
 
     `urls(school_id, profile_url, ord)`. The skipped count comes from totals, so
@@ -135,19 +135,21 @@ def cap_new(urls: DataFrame, ledger: DataFrame, cap: int) -> tuple[DataFrame, Da
     totals = urls.groupBy("school_id").agg(F.count(F.lit(1)).alias("listed"))
     new = fresh.groupBy("school_id").agg(F.count(F.lit(1)).alias("new"))
     n = F.coalesce("new", F.lit(0))
+    most = n if cap is None else F.least(n, F.lit(cap))
     counts = totals.join(new, "school_id", "left").select(
         "school_id",
         (F.col("listed") - n).alias("already_done"),
-        F.least(n, F.lit(cap)).alias("attempted"),
-        F.greatest(n - F.lit(cap), F.lit(0)).alias("cap_skipped"),
+        most.alias("attempted"),
+        (n - most).alias("cap_skipped"),
     )
     return chosen, counts
 
 
-def truncate(rows: DataFrame, key: str, order: list[Column], cap: int) -> DataFrame:
+def truncate(rows: DataFrame, key: str, order: list[Column], cap: int | None) -> DataFrame:
     """First `cap` rows per key; `truncated` is set once the count reaches the cap."""
     kept = top_n(rows, [key], order, cap, "rn")
-    sizes = rows.groupBy(key).agg((F.count(F.lit(1)) >= cap).alias("truncated"))
+    full = F.lit(False) if cap is None else F.count(F.lit(1)) >= cap
+    sizes = rows.groupBy(key).agg(full.alias("truncated"))
     return kept.join(sizes, key)
 
 
@@ -388,12 +390,13 @@ def directory_rows(
 
 # ------------------------------------------------------------------ walks ---
 def walk_directories(
-    entrypoints: DataFrame, pages: DataFrame, max_pages: int = V.MAX_DIRECTORY_PAGES
+    entrypoints: DataFrame, pages: DataFrame, max_pages: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(profile links, walk summary) from following pagination breadth-first.
 
     entrypoints(school_id, url, ord); pages(url, status, body). At most
-    `max_pages` existing pages per school, shared by its entrypoints. Links are
+    `max_pages` existing pages per school (no limit without it), shared by its
+    entrypoints; `page_cap_hit` tells where the limit left pages in the queue. Links are
     read from the pages once; the rounds only touch the pagination links.
     """
     # One page per normalised URL, chosen without moving any page body.
@@ -439,7 +442,7 @@ def walk_directories(
         .select(
             "school_id", "pages_visited",
             F.coalesce("profiles", F.lit(0)).alias("profiles"),
-            ((F.col("pages_visited") >= max_pages) & F.col("remaining")).alias("page_cap_hit"),
+            (F.lit(False) if max_pages is None else (F.col("pages_visited") >= max_pages) & F.col("remaining")).alias("page_cap_hit"),
         )
     )
     return found, summary
@@ -448,13 +451,14 @@ def walk_directories(
 def read_sitemaps(
     seeds: DataFrame,
     documents: DataFrame,
-    max_documents: int = V.MAX_SITEMAP_DOCUMENTS,
-    max_urls: int = V.MAX_SITEMAP_URLS,
+    max_documents: int | None = None,
+    max_urls: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(urls with their order, summary per school) from recursive sitemap indexes.
 
     seeds(school_id, doc_url, ord); documents(doc_url, status, body). Documents
-    are tried breadth-first, `max_documents` per school whether or not they exist.
+    are tried breadth-first, at most `max_documents` per school whether or not they
+    exist; at most `max_urls` are kept. No limit without them; `truncated` reports a cut.
     """
     parsed = cut_lineage(
         documents.filter(F.col("status") == 200)
@@ -493,12 +497,13 @@ def read_sitemaps(
 
 
 def department_people_pages(
-    schools: DataFrame, pages: DataFrame, budget: int = V.MAX_DEPARTMENTS_PER_SCHOOL
+    schools: DataFrame, pages: DataFrame, budget: int | None = None
 ) -> DataFrame:
     """school_id, url, ord: people listings reached through a school's departments.
 
     Two hops: the first department index (in path order) that yields department
-    links, then the people links of at most `budget` departments, `budget` in all.
+    links, then the people links of at most `budget` departments, `budget` in all
+    (no limit without it). With a budget, `left_out` counts a school's departments beyond it.
     """
     live = pages.filter(resolves(F.col("status"), F.col("body")))
     index = schools.select(
@@ -520,4 +525,8 @@ def department_people_pages(
     firsts = people.groupBy("school_id", F.col("href").alias("url")).agg(
         F.min(F.struct("d", "pos")).alias("at")
     )
-    return top_n(firsts, ["school_id"], [F.col("at"), F.col("url")], budget, "ord").drop("at")
+    listed = top_n(firsts, ["school_id"], [F.col("at"), F.col("url")], budget, "ord").drop("at")
+    if budget is None:
+        return listed
+    beyond = left_out(departments.join(best, ["school_id", "ord"], "left_semi"), ["school_id"], budget)
+    return listed.join(beyond, "school_id")

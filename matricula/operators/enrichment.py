@@ -9,14 +9,15 @@ from matricula import fixed_values as V
 from matricula.functions import nested
 from matricula.functions import text as T
 from matricula.functions import urls as U
-from matricula.operators.common import first_per_key, top_n
+from matricula.operators.common import first_per_key, left_out, top_n
 
 
-def recent_author_counts(works: DataFrame, since: Column, limit: int = V.AUTHOR_POOL) -> DataFrame:
+def recent_author_counts(works: DataFrame, since: Column, limit: int | None = None) -> DataFrame:
     """institution_id, author_id, works, cand_rank: most published authors since a date.
 
     works(institution_id, author_id, work_id, published). Distinct works are
-    counted in two partial steps, so a prolific institution is spread out.
+    counted in two partial steps, so a prolific institution is spread out. With
+    `limit`, `left_out` is the number of an institution's authors beyond it.
     """
     counts = (
         works.filter(F.col("published") >= since)
@@ -25,16 +26,17 @@ def recent_author_counts(works: DataFrame, since: Column, limit: int = V.AUTHOR_
         .groupBy("institution_id", "author_id")
         .agg(F.count(F.lit(1)).alias("works"))
     )
-    return top_n(counts, ["institution_id"], [F.desc("works"), F.asc("author_id")], limit, "cand_rank")
+    best = top_n(counts, ["institution_id"], [F.desc("works"), F.asc("author_id")], limit, "cand_rank")
+    return best if limit is None else best.join(left_out(counts, ["institution_id"], limit), "institution_id")
 
 
-def resolve_institutions(schools: DataFrame, candidates: DataFrame, pool: int = 10) -> DataFrame:
+def resolve_institutions(schools: DataFrame, candidates: DataFrame, pool: int | None = None) -> DataFrame:
     """Best candidate institution per school, or none.
 
     schools(school_key, name, homepage); candidates(school_key, cand_rank,
     institution_id, display_name, homepage_url) in search order. Same
     registrable domain first, then an exactly matching name, both among the
-    first `pool`; the top candidate alone only when no homepage contradicts it.
+    first `pool` (all without it); the top candidate alone only when no homepage contradicts it.
     """
     ranked = top_n(candidates, ["school_key"], [F.col("cand_rank")], pool, "pos")
     both = ranked.join(schools.select("school_key", "name", "homepage"), "school_key")
@@ -160,13 +162,15 @@ def resolve_category(
     redirects: DataFrame,
     article_hits: DataFrame,
     category_hits: DataFrame,
-    cap: int = V.MAX_CATEGORY_MEMBERS,
+    cap: int | None = None,
 ) -> DataFrame:
     """school_id, category, step: the first category that holds any person.
 
     Steps: the plain name, the redirect target, the article a search finds, the
     category a search finds. members(category, title, ord); redirects(name,
-    title); article_hits(name, title); category_hits(name, category).
+    title); article_hits(name, title); category_hits(name, category). With `cap`
+    only the first members of a category are looked at, and `unread` tells how
+    many of the chosen category's were not.
     """
     listed = top_n(members, ["category"], [F.col("ord"), F.col("title")], cap, "_rn")
     alive = person_titles(listed).select("category").distinct()
@@ -182,9 +186,11 @@ def resolve_category(
     tries = tries.unionByName(
         named.join(category_hits, "name").select("school_id", "category", F.lit(4).alias("step"))
     )
-    return tries.join(alive, "category", "left_semi").groupBy("school_id").agg(
+    found = tries.join(alive, "category", "left_semi").groupBy("school_id").agg(
         F.min_by("category", "step").alias("category"), F.min("step").alias("step")
     )
+    return found if cap is None else found.join(left_out(members, ["category"], cap, "unread"), "category", "left").select(
+        "school_id", "category", "step", F.coalesce("unread", F.lit(0)).alias("unread"))
 
 
 def notable_people(

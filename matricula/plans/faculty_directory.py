@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula import fixed_values as V
 from matricula.functions import urls as U
 from matricula.operators import directory as R
 from matricula.operators import faculty as Y
@@ -22,7 +21,7 @@ def _walked(directories: DataFrame, pages: DataFrame) -> DataFrame:
 
 def enumerate_profiles(
     directories: DataFrame, pages: DataFrame, clusters: DataFrame, ledger: DataFrame,
-    cap: int = V.MAX_PROFILES_PER_SCHOOL, rendered: DataFrame | None = None,
+    cap: int | None = None, rendered: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(profile URLs to fetch, counts). A sitemap cluster replaces the walk for its school.
 

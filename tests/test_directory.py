@@ -251,3 +251,34 @@ def test_directory_rows_after_rules(spark):
     assert s["notes"] == "ok; dropped 1 proposed URL(s) not in the candidate set; one or more chosen URLs were dropped by rule"
     assert (t["directory_urls"], t["confidence"], t["rules_allowed"]) == ([], 0.0, False)
     assert (u["discovery_method"], u["confidence"], u["n_profile_urls"], u["rules_allowed"]) == ("sitemap", 0.9, 7, True)
+
+
+def test_caps_report_what_they_leave_out(spark):
+    """Without a cap every row comes back; with one, the report counts exactly what is missing."""
+    from pyspark.sql import functions as F
+
+    from matricula.functions import html as H
+    from matricula.operators import enrichment as E
+
+    works = spark.range(12).select(F.lit("i").alias("institution_id"), F.col("id").alias("author_id"), F.col("id").alias("work_id"), F.lit(1).alias("published"))
+    assert E.recent_author_counts(works, F.lit(0)).count() == 12
+    cut = E.recent_author_counts(works, F.lit(0), limit=5).collect()
+    assert len(cut) == 5 and {r["left_out"] for r in cut} == {7}
+
+    schools = spark.createDataFrame([("s", "N")], "school_id string, name string")
+    members = spark.range(9).select(F.lit("Category:N faculty").alias("category"), F.when(F.col("id") < 8, "List of x").otherwise("A Person").alias("title"), F.col("id").alias("ord"))
+    none = spark.createDataFrame([], "name string, title string")
+    no_category = spark.createDataFrame([], "name string, category string")
+    assert E.resolve_category(schools, members, none, none, no_category).count() == 1
+    assert E.resolve_category(schools, members, none, none, no_category, cap=8).count() == 0
+    assert E.resolve_category(schools, members.withColumn("title", F.lit("A Person")), none, none, no_category, cap=8).first()["unread"] == 1
+
+    urls = spark.range(30).select(F.lit("s").alias("school_id"), F.concat(F.lit("u"), F.col("id")).alias("profile_url"), F.col("id").alias("ord"))
+    ledger = spark.createDataFrame([("u1", "done")], "profile_url string, status string")
+    for cap, want in ((None, (29, 29, 0)), (4, (4, 4, 25))):
+        chosen, counts = R.cap_new(urls, ledger, cap)
+        row = counts.first()
+        assert (chosen.count(), row["attempted"], row["cap_skipped"]) == want
+    long = "<html><body><p>" + "x " * 5000 + "</p></body></html>"
+    text = spark.range(1).select(H.excerpt(F.lit(long)).alias("all"), H.excerpt(F.lit(long), 100).alias("cut"), H.looks_like_html(F.lit(" " * 5000 + "<html>")).alias("html")).first()
+    assert len(text["all"]) > 9000 and len(text["cut"]) == 100 and text["html"]

@@ -69,7 +69,7 @@ def _ordered_distinct(sql: str) -> str:
 
 @query("page_excerpts", "T16", _ordered_distinct(_EXCERPT))
 def page_excerpts(t):
-    return spread(t["pages"]).select("page_id", H.excerpt(F.col("html")).alias("excerpt"))
+    return spread(t["pages"]).select("page_id", H.excerpt(F.col("html"), V.EXCERPT_MAX_CHARS).alias("excerpt"))
 
 
 _ATTR = "regexp_extract(attrs, '(?is)(?:^|\\s){n}\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>]+)', 1)"
@@ -326,7 +326,7 @@ def sitemap_walk(t):
     seeds = docs.groupBy("school_key").agg(F.min(F.struct("ord", "doc_url")).alias("s")).select(
         F.col("school_key").alias("school_id"), F.col("s")["doc_url"].alias("doc_url"), F.lit(0).alias("ord")
     )
-    urls, summary = R.read_sitemaps(seeds, docs)
+    urls, summary = R.read_sitemaps(seeds, docs, V.MAX_SITEMAP_DOCUMENTS, V.MAX_SITEMAP_URLS)
     return summary.join(urls, "school_id", "left")
 
 
@@ -505,7 +505,7 @@ from walked w left join found f on f.school_id = w.school_id
 @query("directory_walk", "I2 W14", _DIRECTORY_WALK)
 def directory_walk(t):
     """Each school's summary beside every profile link found and the page that showed it first."""
-    found, summary = R.walk_directories(_entrypoints(t), t["v_listing_pages"])
+    found, summary = R.walk_directories(_entrypoints(t), t["v_listing_pages"], V.MAX_DIRECTORY_PAGES)
     return summary.join(found.drop("at"), "school_id", "left")
 
 
@@ -529,7 +529,7 @@ with firsts as (
   from {customer} group by c_nationkey, c_mktsegment),
 best as (select k, arg_min(a, place) as a, arg_min(b, place) as b from firsts where place is not null group by k),
 people as (select k, a as c, 1 as ord from best union all select k, b, 2 from best where a <> b)
-select 's' || k as school_id, 'https://www.s' || k || '.edu/department/' || c || '/people' as url, ord from people
+select 's' || k as school_id, 'https://www.s' || k || '.edu/department/' || c || '/people' as url, ord, 0 as left_out from people
 """
 
 
@@ -563,4 +563,4 @@ def department_walk(t):
         ).alias("body"),
     )
     pages = departments.select("url", "body").unionByName(index_pages).withColumn("status", F.lit(200))
-    return R.department_people_pages(schools, pages)
+    return R.department_people_pages(schools, pages, V.MAX_DEPARTMENTS_PER_SCHOOL)

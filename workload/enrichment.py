@@ -14,7 +14,7 @@ from workload.registry import query
     "recent_author_counts",
     "A11",
     """with c as (select institution_id, author_id, count(distinct work_id) works from {v_works} where published_day >= 10 group by 1, 2)
-      select institution_id, author_id, works, cast(rn as int) cand_rank from (select *, row_number() over (partition by institution_id order by works desc, author_id) rn from c) where rn <= 3""",
+      select institution_id, author_id, works, cast(rn as int) cand_rank, greatest(n - 3, 0) left_out from (select *, row_number() over (partition by institution_id order by works desc, author_id) rn, count(*) over (partition by institution_id) n from c) where rn <= 3""",
 )
 def recent_author_counts(t):
     works = t["v_works"].withColumnRenamed("published_day", "published")
@@ -155,7 +155,7 @@ def institution_resolution(t):
         F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit("http://inst"), k, F.lit(".edu"))).alias("homepage"),
     )
     candidates = t["v_institutions"].withColumn("institution_id", F.col("cand_rank"))
-    return E.resolve_institutions(schools, candidates).select("school_key", "institution_id", "prio")
+    return E.resolve_institutions(schools, candidates, pool=10).select("school_key", "institution_id", "prio")
 
 
 # ------------------------------------------------------------ encyclopedia --
@@ -211,7 +211,7 @@ def notable_people(t):
     "category_cascade",
     "J18 F14 W15",
     """select s_suppkey school_id, 'Category:' || case when s_suppkey % 5 = 0 then s_name when s_suppkey % 5 = 1 then s_name || ' R' when s_suppkey % 5 = 2 then s_name || ' A' else s_name || ' (X)' end || ' faculty' category,
-      cast(s_suppkey % 5 + 1 as int) step from {supplier} where s_suppkey % 5 < 4""",
+      cast(s_suppkey % 5 + 1 as int) step, 0 unread from {supplier} where s_suppkey % 5 < 4""",
 )
 def category_cascade(t):
     k, n = F.col("s_suppkey"), F.col("s_name")
@@ -224,7 +224,7 @@ def category_cascade(t):
     redirects = t["supplier"].select(n.alias("name"), F.concat(n, F.lit(" R")).alias("title"))
     hits = t["supplier"].select(n.alias("name"), F.concat(n, F.lit(" A")).alias("title"))
     category_hits = t["supplier"].select(n.alias("name"), F.concat(F.lit("Category:"), n, F.lit(" (X) faculty")).alias("category"))
-    return E.resolve_category(schools, people, redirects, hits, category_hits)
+    return E.resolve_category(schools, people, redirects, hits, category_hits, V.MAX_CATEGORY_MEMBERS)
 
 
 @query(
