@@ -7,6 +7,7 @@ document from an empty one.
 
 from __future__ import annotations
 
+from html import entities
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,21 +22,85 @@ _COMMENT = r"(?s)<!--.*?-->"
 _HEAD = r"(?is)<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>"
 _HEADING = r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>"
 _ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a\s*>"
+_RAW_TEXT = ("script", "style")
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
+#: Names of the HTML standard, without their semicolon.
+_NAMED = {name[:-1]: value for name, value in entities.html5.items() if name.endswith(";")}
+#: Numbers that stand for Windows-1252 bytes.
+_WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _map(values: dict[str, str]) -> Column:
+    """A constant map, folded to a literal by the optimizer."""
+    return F.map_from_arrays(*(F.split(F.lit("\x1f".join(x)), "\x1f", -1) for x in (values.keys(), values.values())))
+
+
 _JSONLD = r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>"
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _drop_blocks(html: Column, tags: tuple[str, ...]) -> Column:
-    return F.regexp_replace(html, rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1\s*>", " ")
+    """Markup outside the elements of these tags, nested ones included.
+
+    Scripts and styles hold no markup and end at their own end tag. For the others
+    a depth runs over the start and end tags; an element never closed reaches to the end.
+    """
+    raw, nested = [t for t in tags if t in _RAW_TEXT], [t for t in tags if t not in _RAW_TEXT]
+    if raw:
+        html = F.regexp_replace(html, rf"(?is)<({'|'.join(raw)})\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+    if not nested:
+        return html
+    tag = rf"(?i)</?(?:{'|'.join(nested)})\b[^>]*>"
+
+    def outside(markup: Column) -> Column:
+        found = F.regexp_extract_all(markup, F.lit(tag), F.lit(0))
+        pieces = F.split(markup, tag, -1)
+        start = F.struct(F.get(pieces, F.lit(0)).alias("text"), F.lit(0).alias("depth"))
+        after = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        steps = F.zip_with(found, after, lambda t, p: F.struct(
+            F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1).alias("by"), p.alias("text")))
+
+        def step(seen: Column, s: Column) -> Column:
+            depth = F.greatest(seen["depth"] + s["by"], F.lit(0))
+            return F.struct(F.when(depth > 0, seen["text"]).otherwise(F.concat(seen["text"], F.lit(" "), s["text"])).alias("text"),
+                            depth.alias("depth"))
+
+        return F.when(F.size(found) == 0, markup).otherwise(F.aggregate(steps, start, step)["text"])
+
+    return _bound(html, outside)
 
 
 def unescape(text: Column) -> Column:
-    """The predefined entities plus the non-breaking space."""
-    for entity, char in (
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-        ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named, decimal and hexadecimal character references decoded, once over; unknown names stay.
+
+    Numbers follow the HTML rules: 128-159 are those of Windows-1252, and what is no
+    character becomes U+FFFD. A non-breaking space becomes a space, as in all texts here.
+    """
+
+    def character(code: Column) -> Column:
+        known = F.try_element_at(_map({str(k): v for k, v in _WINDOWS.items()}), code.cast("string"))
+        fine = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(known, F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.lit("\ufffd"))
+
+    def decoded(reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "(?i)^&#x?0*([0-9a-f]{0,8})", 1)
+        hexadecimal = F.lower(reference).startswith("&#x")
+        number = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+        long = F.length(F.regexp_replace(reference, "^&#[xX]?0*|;$", "")) > 8
+        return F.when(reference.startswith("&#"), F.when(long, F.lit("\ufffd")).otherwise(character(F.coalesce(number, F.lit(0))))).otherwise(
+            F.coalesce(F.try_element_at(_map(_NAMED), F.regexp_replace(reference, "^&|;$", "")), reference))
+
+    def joined(t: Column) -> Column:
+        pieces = F.split(t, _REFERENCE, -1)
+        found = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), decoded)
+        both = F.zip_with(found, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda c, p: F.concat(c, p))
+        return F.when(t.contains("&"), F.replace(F.concat(F.get(pieces, F.lit(0)), F.array_join(both, "")), F.lit("\xa0"), F.lit(" "))).otherwise(t)
+
+    return _bound(text, joined)
 
 
 def tags_to_text(fragment: Column) -> Column:

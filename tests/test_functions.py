@@ -258,3 +258,14 @@ def test_display(one):
         display.stat_text(v(None), L("not_applicable"), "number"), display.stat_note(v(1), L("editorial")),
         display.stat_note(v(None), L("not_applicable")), display.tier_label(L("extreme_reach")), display.tier_label(L(None).cast("string")),
     ) == ("16%", "$1,235", "3.95", "1550", "25,000", "—", "n/a", "est.", "not used at this school", "Extreme reach", None)
+
+
+def test_character_references_and_nested_noise(one):
+    import html as stdlib
+
+    cases = ["Jos&eacute; &#64; &#x40;&#X2013; &rsquo;s &amp;lt; &unknown; &notin; &", "&#150; &#0; &#xD800; &#1114112; &#99999999999; &#233 x", "plain", "&NotEqualTilde;&nbsp;z&copy;"]
+    got = one(*(H.unescape(L(c)) for c in cases))
+    assert list(got) == [stdlib.unescape(c).replace("\xa0", " ") for c in cases]
+    pages = ["<body>a<header>b<nav>c</nav>d</header>e</body>", "<body>a<nav>b<nav>c</nav>d</nav>e</body>", "<body>a<footer>never closed <b>x</b></body>",
+             "<body>a</nav>b<svg/>c<script>if (a < b) '<nav>'</script>d</body>", "<body>x<style>y</body>"]
+    assert list(one(*(H.visible_text(L(p)) for p in pages))) == ["a e", "a e", "a", "a b c d", "x"]

@@ -41,6 +41,35 @@ def visible_text(t):
     return spread(t["pages"]).select("page_id", H.visible_text(F.col("html")).alias("text"))
 
 
+_REFERENCES = (  # written in the page, what a reader sees
+    ("Jos&eacute;", "José"), ("x &#8211; y", "x – y"), ("a&#x2014;b", "a—b"), ("it&rsquo;s", "it’s"),
+    ("&laquo;q&raquo;", "«q»"), ("&#150;&hellip;", "–…"), ("R&amp;D &amp;eacute;", "R&D &eacute;"),
+)
+_AT_SIGNS = ("&#64;", "&#x40;", "&commat;")
+
+
+@query(
+    "character_references",
+    "T15 T17 T20",
+    "select c_custkey, case c_custkey % 7 "
+    + " ".join(f"when {i} then '{seen}'" for i, (_, seen) in enumerate(_REFERENCES))
+    + """ end || ' ' || c_name || ' mail m' || c_custkey || '@s.edu cv' as text, 'm' || c_custkey || '@s.edu' as email,
+      'https://s.edu/p?a=' || c_custkey || '&b=2' as href from {customer}""",
+)
+def character_references(t):
+    """Named and numeric references in text, e-mails and links, beside nested and unclosed noise elements."""
+    k = F.col("c_custkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    body = F.concat(
+        F.lit("<html><body><header>top<nav>menu<nav>sub</nav></nav>still</header><p>"), pick([w for w, _ in _REFERENCES]),
+        F.lit(" "), F.col("c_name"), F.lit("</p><p>mail m"), k.cast("string"), pick(_AT_SIGNS), F.lit("s.edu</p><a href='/p?a="),
+        k.cast("string"), F.lit("&amp;b=2'>cv</a><footer>end <b>never closed</b></body></html>"))
+    page = t["customer"].select("c_custkey", body.alias("html"))
+    text = H.visible_text(F.col("html"))
+    href = U.resolve(F.lit("https://s.edu/"), F.get(H.anchors(F.col("html")), F.lit(0))["href"])
+    return page.select("c_custkey", text.alias("text"), H.email_in_text(text).alias("email"), href.alias("href"))
+
+
 _EXCERPT = f"""with b as (select page_id, {body_markup('html')} m from {{pages}}),
     p as (select page_id,
       list_distinct_ordered(list_filter(list_transform(regexp_extract_all(m, '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]\\s*>', 1), lambda x: {tags_to_text('x')}), lambda x: x <> '')) hs,
