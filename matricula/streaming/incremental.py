@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from matricula import schemas
 from matricula.operators import faculty as Y
 from matricula.operators import ranking
+from matricula.operators.common import first_per_key
+from matricula.sources.readers import path_exists
 
 
 def _write_batch(df: DataFrame, folder: str, batch: str) -> None:
@@ -36,17 +38,22 @@ def extract_stream(
 ) -> StreamingQuery:
     """Append-only pages in, clean rows and a ledger out, each profile URL once.
 
-    Runs over everything available and stops. The set of URLs seen lives in the
-    streaming state; pages that could not be read land in the ledger as failed
-    and are picked up by `retry_failed`.
+    Runs over everything available and stops. A batch keeps the earliest fetch of
+    each URL and leaves out what the ledger of other batches holds, so no streaming
+    state grows with the URLs and a replayed batch does the same again. Pages that
+    could not be read land in the ledger as failed and are picked up by `retry_failed`.
     """
     reader = spark.readStream.schema(schemas.RAW_PAGE)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.json(pages).dropDuplicates(["profile_url"])
+    stream = reader.json(pages)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        _write_outcomes(Y.extract_deterministic(batch), out, str(batch_id))
+        fresh = first_per_key(batch, ["profile_url"], [F.col("fetched_at").asc_nulls_last(), F.xxhash64("html")])
+        if path_exists(spark, f"{out}/ledger"):
+            known = spark.read.parquet(f"{out}/ledger").filter(F.col("batch").cast("string") != str(batch_id))
+            fresh = fresh.join(known.select("profile_url"), "profile_url", "left_anti")
+        _write_outcomes(Y.extract_deterministic(fresh), out, str(batch_id))
 
     return (
         stream.writeStream.foreachBatch(each)

@@ -66,6 +66,88 @@ def json_lines_tolerant(t):
     return both.groupBy().pivot("k", ["good", "malformed"]).agg(F.sum("n"))
 
 
+def _documents(rows, root, text, parts=16):
+    """One JSON document per file, `parts` files: `text` folds a file's rows to its document."""
+    rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).alias("file")).agg(text.alias("value")).write.partitionBy("file").text(root)
+
+
+@query(
+    "json_array",
+    "S2",
+    "select id, name, avg_gpa, array_to_string(majors, '|') majors from {v_universities}",
+)
+def json_array(t):
+    path = scratch_path(t.spark, "arrays")
+    rows = t["v_universities"].select("id", "name", "avg_gpa", "majors")
+    _documents(rows, path, F.to_json(F.collect_list(F.struct(*rows.columns))))
+    back = readers.read_json_array(t.spark, path, "id string, name string, avg_gpa double, majors array<string>")
+    return back.select("id", "name", "avg_gpa", F.array_join("majors", "|").alias("majors"))
+
+
+@query(
+    "keyed_json",
+    "S3",
+    "select doc_id::varchar id, n_entries, source from {v_details} union all select 'absent', 0, null where not exists (select 1 from {v_details} where false)",
+)
+def keyed_json(t):
+    """Keyed records and an absent file, which is an empty table."""
+    path = scratch_path(t.spark, "keyed")
+    rows = t["v_details"].select(F.col("doc_id").cast("string").alias("id"), F.struct("n_entries", "source").alias("r"))
+    _documents(rows, path, F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "r")))))
+    record = "struct<n_entries:int,source:string>"
+    back = readers.read_keyed_json(t.spark, path, record)
+    none = readers.read_keyed_json(t.spark, f"{path}-absent", record).groupBy().agg(F.count(F.lit(1)).cast("int").alias("n_entries"))
+    return back.select("id", "value.n_entries", "value.source").unionByName(
+        none.select(F.lit("absent").alias("id"), "n_entries", F.lit(None).cast("string").alias("source")))
+
+
+@query("alias_file", "S4", "select name, alias from {v_aliases} where not starts_with(name, '_')")
+def alias_file(t):
+    path = scratch_path(t.spark, "aliases")
+    rows = t["v_aliases"].unionByName(t["nation"].select(F.concat(F.lit("_note "), "n_name").alias("name"), F.lit("comment").alias("alias")))
+    _documents(rows, path, F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "alias")))))
+    return readers.read_aliases(t.spark, path)
+
+
+@query(
+    "editorial_js",
+    "S7",
+    "select p_name || ' ' || p_partkey \"name\", case when p_partkey % 3 = 0 then null else p_type end \"type\", p_size::int size, -1e0 * p_size gpa, p_brand || '|' || p_name majors, 0.5e0 research from {part}",
+)
+def editorial_js(t):
+    path = scratch_path(t.spark, "editorial")
+    p = t["part"]
+    kind = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit(', type:"'), "p_type", F.lit('"')))
+    p.select(F.concat(
+        F.lit('X.push({n:"'), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit('"'), kind, F.lit(", size:"), F.col("p_size").cast("string"),
+        F.lit(", gpa: -"), F.col("p_size").cast("string"), F.lit(', v:{research:.5}, strengths:["'), "p_brand", F.lit('","'), "p_name", F.lit('"]});'),
+    ).alias("value")).write.text(path)
+    rows = readers.read_editorial_js(t.spark, path)
+    return rows.select(
+        "name", "type", F.col("enrollment_editorial").alias("size"), F.col("avg_gpa").alias("gpa"),
+        F.array_join("majors", "|").alias("majors"), F.col("culture.research").alias("research"))
+
+
+@query(
+    "research_batch_files",
+    "S8",
+    "select school_id || '-' || seq school_id, faculty, research, case when seq % 3 = 0 then '' when seq % 3 = 1 then src[1] else array_to_string(src, ' ') end src from {v_batches}",
+)
+def research_batch_files(t):
+    """Sources written as a list, as one text, and as something else, which is no source."""
+    path = scratch_path(t.spark, "batches")
+    seq = F.col("seq") % 3
+    src = F.when(seq == 0, F.lit("{}")).when(seq == 1, F.to_json(F.array(F.col("src")[0]))).otherwise(F.to_json("src"))
+    src = F.when(seq == 1, F.concat(F.lit('"'), F.col("src")[0], F.lit('"'))).otherwise(src)
+    entry = F.concat(
+        F.lit('"'), "school_id", F.lit("-"), F.col("seq").cast("string"), F.lit('":{"faculty":"'), "faculty", F.lit('","research":"'), "research",
+        F.lit('","src":'), src, F.lit("}"))
+    rows = t["v_batches"].select(entry.alias("e"))
+    _documents(rows, path, F.concat(F.lit("{"), F.array_join(F.collect_list("e"), ","), F.lit("}")))
+    back = readers.read_research_batches(t.spark, path)
+    return back.select("school_id", "faculty", "research", F.array_join("src", " ").alias("src"))
+
+
 @query(
     "ordered_catalog",
     "S11 S19",
@@ -120,7 +202,7 @@ def recommendation_log(t):
 @query(
     "faculty_csv",
     "S14 U1 T34",
-    f"with {_JUDGED} select school_id, professor_name, title, cast(\"role\" as string) is_faculty, profile_url from verdicts where verdict = 'kept'",
+    f"with {_JUDGED} select f file, school_id, professor_name, title, cast(\"role\" as string) is_faculty, profile_url from verdicts, (values ('by_school'), ('master')) v(f) where verdict = 'kept'",
 )
 def faculty_csv(t):
     path = scratch_path(t.spark, "faculty")
@@ -130,8 +212,9 @@ def faculty_csv(t):
          "directory_url": F.lit("d"), "extracted_at": F.lit(None).cast("timestamp")}
     )
     sinks.write_faculty_csv(full, path)
-    rows = t.spark.read.option("header", True).csv(f"{path}/by_school")
-    return rows.select("school_id", "professor_name", "title", "is_faculty", "profile_url")
+    columns = ["school_id", "professor_name", "title", "is_faculty", "profile_url"]
+    parts = [t.spark.read.option("header", True).csv(f"{path}/{f}").select(F.lit(f).alias("file"), *columns) for f in ("by_school", "master")]
+    return parts[0].unionByName(parts[1])
 
 
 def _raw_pages(t):
@@ -159,6 +242,25 @@ def incremental_extraction(t):
     return rows.select("profile_url", "professor_name", "email", "phone")
 
 
+@query(
+    "retried_extraction",
+    "R2",
+    f"""with h as ({_HINTS}), e as (select page_id, dead, coalesce(ld_name, author) \"name\" from h)
+      select 'https://x.edu/p/' || page_id profile_url, case when not dead and page_id % 3 = 0 and page_id % 2 = 1 then 'failed' else 'done' end status,
+        case when not dead and page_id % 3 = 0 then 2 else 1 end attempts from e""",
+)
+def retried_extraction(t):
+    """Pages without text are tried again from a fresh fetch, in which every second one has come back."""
+    base = scratch_path(t.spark, "retried")
+    pages = _raw_pages(t)
+    number = F.regexp_extract("profile_url", "([0-9]+)$", 1).cast("long")
+    pages.withColumn("html", F.when(number % 3 != 0, F.col("html"))).write.json(f"{base}/in/a")
+    incremental.extract_stream(t.spark, f"{base}/in/*", f"{base}/out", f"{base}/ck").awaitTermination()
+    fresh = pages.withColumn("html", F.when(number % 2 == 0, F.col("html")))
+    incremental.retry_failed(t.spark, fresh, f"{base}/out", "1")
+    return incremental.read_ledger(t.spark, f"{base}/out")
+
+
 @query(
     "streamed_ranking",
     "R4",
