@@ -166,7 +166,7 @@ _BALANCE = """balance as (select student_id, count(*) total, count(*) filter (ti
 @query(
     "list_balance",
     "A4",
-    f"""with {_BALANCE}, b as (select c_custkey student_id, coalesce(total, 0) total, coalesce(reach, 0) reach, coalesce(target, 0) target, coalesce(safety, 0) safety,
+    f"""with {_BALANCE.replace("where listed ", "")}, b as (select c_custkey student_id, coalesce(total, 0) total, coalesce(reach, 0) reach, coalesce(target, 0) target, coalesce(safety, 0) safety,
         coalesce(extreme_reach, 0) extreme_reach, coalesce(unknown, 0) unknown from {{customer}} left join balance on c_custkey = student_id)
       select *, case when total = 0 then 0e0 else cast(safety as double) / total end safety_share,
         cast(floor(total * 0.15e0 + 0.5e0) as bigint) range_low, cast(floor(total * 0.2e0 + 0.5e0) as bigint) range_high,
@@ -174,7 +174,7 @@ _BALANCE = """balance as (select student_id, count(*) total, count(*) filter (ti
 )
 def list_balance(t):
     students = t["customer"].select(F.col("c_custkey").alias("student_id"))
-    return A.list_balance(t["v_list"].filter("listed"), students)
+    return A.list_balance(t["v_list"], students)
 
 
 @query(

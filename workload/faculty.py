@@ -71,11 +71,11 @@ def _report_raw(t):
         F.concat(F.lit("https://x.edu/"), (F.col("doc_id") % 300).cast("string")).alias("profile_url"),
         F.when(F.col("n_chars") % 7 == 0, 404).otherwise(200).alias("http_status"),
         F.col("doc_id").alias("seq"),
-    ).filter("school_id <> 'web'")
+    )
 
 
 _REPORT = f"""with {_JUDGED},
-    raw as (select source school_id, concat('https://x.edu/', cast(doc_id % 300 as string)) profile_url, case when n_chars % 7 = 0 then 404 else 200 end http_status, doc_id seq from {{documents}} where source <> 'web'),
+    raw as (select source school_id, concat('https://x.edu/', cast(doc_id % 300 as string)) profile_url, case when n_chars % 7 = 0 then 404 else 200 end http_status, doc_id seq from {{documents}}),
     last_status as (select school_id, profile_url, arg_max(http_status, seq) status from raw group by 1, 2),
     counts as (select school_id, count(*) fetched, count(*) filter (status <> 200) dead from last_status group by 1),
     keptrows as (select school_id, profile_url from verdicts where verdict = 'kept'),

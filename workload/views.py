@@ -101,10 +101,10 @@ VIEWS: dict[str, str] = {
           case when c_custkey % 2 = 0 then split('West,South', ',') else null end as regions,
           case when c_nationkey % 2 = 0 then split('urban', ',') else null end as settings,
           0.5e0 + cast(c_custkey % 6 as double) / 10e0 as pf_collab,
-          0.5e0 as pf_quirky,
+          cast(c_custkey * 7 % 11 as double) / 10e0 as pf_quirky,
           cast(c_custkey % 11 as double) / 10e0 as pf_idealist,
           cast(c_nationkey % 11 as double) / 10e0 as pf_research,
-          0.5e0 as pf_spirit,
+          cast(c_nationkey * 3 % 11 as double) / 10e0 as pf_spirit,
           0.3e0 as pf_seminar,
           cast(c_custkey % 11 as double) / 10e0 as intensity,
           cast(c_custkey * 3 % 11 as double) / 10e0 as scale,
