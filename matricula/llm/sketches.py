@@ -5,8 +5,9 @@ Only DataFrame functions. A text's paragraphs are its lines cut after sentence e
 cells in three tables; a digest falls into one bucket and there into one cell of each table, and a cell
 holds a signed count, the xor of its digests and the xor of their check hashes. Sketches of two versions
 subtract cell by cell, common paragraphs cancel, and peeling single-digest cells recovers the
-digests in which the versions differ. A pair that cannot be peeled is tried again with four times the buckets
-and other hashes, until none is left. Since buckets have a fixed size, the work is linear in the text.
+digests in which the versions differ. What falls into buckets that cannot be peeled is tried again with other
+hashes and then with four times the buckets, until none is left. Since buckets have a fixed size, the work
+is linear in the text.
 
 Likeness is shared paragraphs over all paragraphs, from the set sizes and the recovered digests.
 A text's fingerprint is the SHA-256 of its sketch of one bucket.
@@ -41,12 +42,16 @@ def _buckets(items: Column) -> Column:
     return F.pow(2, F.greatest(F.lit(0), F.ceil(F.log2(items / F.lit(float(LOAD)))))).cast("int")
 
 
+def bucket_of(digest: Column, seed: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(digest, seed, F.lit("bucket")), buckets).cast("int")
+
+
 def sketch_cells(units: DataFrame, keys: list[str], seed: Column) -> DataFrame:
     """units(keys, buckets, d, sign) -> the cells in use: keys, bucket, cell, n, k (xor of digests), c (xor of checks)."""
     h = F.xxhash64("d", seed)
     cells = F.array(*(F.lit(SIDE * t) + F.pmod(F.shiftright(h, 20 * t).bitwiseAND((1 << 20) - 1), F.lit(SIDE)).cast("int") for t in range(3)))
     return (
-        units.select(*keys, F.pmod(F.xxhash64("d", seed, F.lit("bucket")), F.col("buckets")).cast("int").alias("bucket"),
+        units.select(*keys, bucket_of(F.col("d"), seed, F.col("buckets")).alias("bucket"),
                      "d", "sign", F.explode(cells).alias("cell"))
         .groupBy(*keys, "bucket", "cell")
         .agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("d").alias("k"), F.bit_xor(F.xxhash64("d", F.lit("check"))).alias("c"))
@@ -92,17 +97,18 @@ def likeness(a: Column, b: Column, differ: Column) -> Column:
 
 
 def retried(failed: DataFrame, keys: list[str]) -> DataFrame:
-    """failed(keys, a, b, buckets): pairs of digest arrays -> keys, differ, with ever larger sketches."""
+    """failed(keys, a, b, buckets): pairs of digest arrays -> keys, differ, with other hashes, then with ever larger sketches."""
     found, attempt = None, 1
     todo = through_table(failed, "sketch-retry")
     while not todo.isEmpty():
         seed = F.lit(attempt)
-        spread = todo.repartition(*keys).select(*keys, (F.col("buckets") * 4).alias("buckets"), F.explode(F.concat(
+        more = F.col("buckets") * (1 if attempt == 1 else 4)
+        spread = todo.repartition(*keys).select(*keys, more.alias("buckets"), F.explode(F.concat(
             F.transform("a", lambda d: F.struct(d.alias("d"), F.lit(1).alias("sign"))),
             F.transform("b", lambda d: F.struct(d.alias("d"), F.lit(-1).alias("sign"))))).alias("u"))
         done = compared(sketch_cells(spread.select(*keys, "buckets", "u.d", "u.sign"), keys, seed), keys, str(attempt))
         tried = through_table(todo.join(done, keys, "left").select(
-            *keys, "a", "b", (F.col("buckets") * 4).alias("buckets"), F.coalesce("whole", F.lit(True)).alias("whole"),
+            *keys, "a", "b", more.alias("buckets"), F.coalesce("whole", F.lit(True)).alias("whole"),
             F.coalesce("differ", F.lit(0)).alias("differ")), "sketch-tried")
         now = tried.filter("whole").select(*keys, "differ")
         found = now if found is None else found.unionByName(now)
@@ -111,10 +117,10 @@ def retried(failed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> block, nth, doc_id, text, following: the next text by descending id, the first after the last.
+    """docs(doc_id, text) -> block, nth, guest, doc_id, text, following: the next text by descending id, the first after the last.
 
     Ids are dealt into blocks of their range, about BLOCK_DOCS documents each; a block also gets the first
-    document of the next block in use, so that all order is found inside blocks."""
+    document of the next block in use as a guest row, so that the row after (block, nth) is (block, nth + 1)."""
     span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
     lo = span["lo"] or 0
     width = max(1, -(-((span["hi"] or 0) - lo + 1) * BLOCK_DOCS // max(1, span["n"])))
@@ -138,7 +144,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     )
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
     order = Window.partitionBy("block").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    return both.withColumns({"nth": F.row_number().over(order), "following": F.lead("text").over(order)}).filter("not guest").drop("guest")
+    return both.withColumns({"nth": F.row_number().over(order), "following": F.lead("text").over(order)})
 
 
 def edited(text: Column, following: Column, n_chars: Column) -> Column:
@@ -154,10 +160,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     near = neighbours(texts).withColumn("n_chars", F.length("text").cast("long"))
     near = near.withColumn("edited", edited(F.col("text"), F.col("following"), F.col("n_chars")))
-    sets = near.select(
-        "block", "nth", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("edited")).alias("e"),
-        paragraph_digests(F.col("following")).alias("f"))
+    # the texts are shuffled once and end here; what follows moves digests only
+    base = through_table(near.select(
+        "block", "nth", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        paragraph_digests(F.col("text")).alias("a"), F.when(~F.col("guest"), paragraph_digests(F.col("edited"))).alias("e")), "paragraphs")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    follow = Window.partitionBy("block").orderBy("nth")
+    sets = base.repartition(parts, "block").withColumn("f", F.lead("a").over(follow)).filter("not guest")
 
     def units(array: str, kind: int, sign: int) -> Column:
         return F.transform(array, lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("d"), F.lit(sign).alias("sign")))
@@ -177,26 +186,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     peel = F.when(F.col("kind") < FINGERPRINT, peeled("cells", "0"))
     per = (
         grouped.withColumn("p", peel).groupBy("block", "nth").agg(
-            *(F.coalesce(F.min(F.when(F.col("kind") == k, F.size("p.cells") == 0)), F.lit(True)).alias(f"whole{k}") for k in (OWN, NEXT)),
-            *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.size("p.got"))), F.lit(0)).alias(f"differ{k}") for k in (OWN, NEXT)),
+            *(F.coalesce(F.sum(F.when((F.col("kind") == k) & (F.size("p.cells") == 0), F.size("p.got"))), F.lit(0)).alias(f"differ{k}") for k in (OWN, NEXT)),
+            *(F.collect_list(F.when((F.col("kind") == k) & (F.size("p.cells") > 0), F.col("bucket"))).alias(f"stuck{k}") for k in (OWN, NEXT)),
             *(F.max(F.when(F.col("kind") == k, shown)).alias(f"shown{k}") for k in (FINGERPRINT, EDITED)))
     )
     empty = F.sha2(F.lit(""), 256)
-    whole = [F.coalesce(f"whole{k}", F.lit(True)) for k in (OWN, NEXT)]
-    first = sets.join(per, ["block", "nth"], "left").select(
-        "block", "nth", "doc_id", "n_chars", "edited_sha256", F.size("a").alias("na"), F.size("e").alias("ne"), F.size("f").alias("nf"),
-        F.coalesce(f"shown{FINGERPRINT}", empty).alias("fingerprint"), F.coalesce(f"shown{EDITED}", empty).alias("edited_fingerprint"),
-        *(F.when(w, F.coalesce(f"differ{k}", F.lit(0))).alias(f"differ{k}") for w, k in zip(whole, (OWN, NEXT))),
-        *(F.when(~(whole[0] & whole[1]), F.col(c)).alias(c) for c in "aef"))
+    first = (
+        base.filter("not guest").select("block", "nth", "doc_id", "n_chars", "edited_sha256", F.size("a").alias("na"), F.size("e").alias("ne"))
+        .join(base.select("block", (F.col("nth") - 1).alias("nth"), F.size("a").alias("nf")), ["block", "nth"])
+        .join(per, ["block", "nth"], "left").select(
+            "block", "nth", "doc_id", "n_chars", "edited_sha256", "na", "ne", "nf",
+            F.coalesce(f"shown{FINGERPRINT}", empty).alias("fingerprint"), F.coalesce(f"shown{EDITED}", empty).alias("edited_fingerprint"),
+            *(F.coalesce(f"differ{k}", F.lit(0)).alias(f"differ{k}") for k in (OWN, NEXT)),
+            *(f"stuck{k}" for k in (OWN, NEXT))))
     first = through_table(first, "sketches")
-    failed = [
-        first.filter(F.col(f"differ{k}").isNull()).select(
-            "block", "nth", F.lit(k).alias("kind"), "a", F.col(other).alias("b"), _buckets(F.size("a") + F.size(other)).alias("buckets"))
-        for k, other in ((OWN, "e"), (NEXT, "f"))]
+    failed = []
+    for k, other in ((OWN, base.select("block", "nth", F.col("e").alias("b"))),
+                     (NEXT, base.select("block", (F.col("nth") - 1).alias("nth"), F.col("a").alias("b")))):
+        buckets = _buckets(F.col("na") + F.col("ne" if k == OWN else "nf"))
+        at = first.filter(F.size(f"stuck{k}") > 0).select("block", "nth", F.lit(k).alias("kind"), F.col(f"stuck{k}").alias("stuck"), buckets.alias("buckets"))
+        pairs = at.join(base.select("block", "nth", "a"), ["block", "nth"]).join(other, ["block", "nth"])
+        left = [F.filter(side, lambda d: F.array_contains("stuck", bucket_of(d, F.lit(0), F.col("buckets")))).alias(side) for side in "ab"]
+        left = pairs.select("block", "nth", "kind", *left)
+        failed.append(left.withColumn("buckets", _buckets(F.size("a") + F.size("b"))))
     again = retried(failed[0].unionByName(failed[1]), keys).groupBy("block", "nth").agg(
         *(F.max(F.when(F.col("kind") == k, F.col("differ"))).alias(f"again{k}") for k in (OWN, NEXT)))
-    differ = [F.coalesce(f"differ{k}", f"again{k}") for k in (OWN, NEXT)]
-    return first.drop("a", "e", "f").join(again, ["block", "nth"], "left").select(
+    differ = [F.col(f"differ{k}") + F.coalesce(f"again{k}", F.lit(0)) for k in (OWN, NEXT)]
+    return first.join(again, ["block", "nth"], "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("na"), F.col("ne"), differ[0]).alias("near_edited"),
         likeness(F.col("na"), F.col("nf"), differ[1]).alias("near_next"))
