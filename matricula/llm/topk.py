@@ -8,6 +8,9 @@ read in) and an upper bound (what was read, plus the value reached in those list
 when all rows outside a small set have upper bounds under the k-th lower bound: they cannot qualify.
 The scores of that set are then resolved exactly. The k best of each shard are merged per query.
 
+Every block first meets one shard alone: the k-th score found there is a floor that all shards may use,
+for no row below it can be among the k best of all.
+
 Defined results: vectors that are null, hold a null, NaN or infinite component, or have a null id take
 no part. Repeated rows count once; a row is its id, so rows of a query's own id are not its candidates.
 Vectors are compared with those of the same length only. Components and scores must stay under 2 ** 53,
@@ -27,7 +30,7 @@ from xxhash import xxh64_intdigest
 from matricula.llm.base import bound_batches, register, table, through_table
 
 SHARD_ROWS, BLOCK_QUERIES = 2048, 256
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)  # of the lists read when the bounds are compared
+DEPTHS = (1 / 4, 1 / 2, 5 / 8, 3 / 4, 1)  # of the lists read when the bounds are compared
 K, EVERY, SCALE = 5, 50, 256
 
 
@@ -72,57 +75,79 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
-        up = np.argsort(rows, axis=0, kind="stable").T
-        self.order = np.stack([up, up[:, ::-1]])  # by ascending and by descending value
-        self.values = np.stack([np.take_along_axis(rows.T, o, axis=1) for o in self.order])
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores) of the k best rows, and the depth to which the lists were read."""
-        n = len(self.ids)
-        lists = np.flatnonzero(query)
-        side, weight = (query[lists] > 0).astype(int), query[lists]
-        order, values = self.order[side, lists], self.values[side, lists]
-        worst = values[:, -1] * weight if n else weight
+        self.order = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)  # by ascending value
+        self.values = np.take_along_axis(rows.T, self.order, axis=1)
+
+    def top(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores) of the k best rows that reach the floor, and the depth to which the lists were read."""
+        n, lists = len(self.ids), np.flatnonzero(query)
+        sides = [(lists[query[lists] > 0], True), (lists[query[lists] < 0], False)]  # read from the top, from the bottom
+        weight = np.concatenate([query[j] for j, _ in sides])
+        worst = np.concatenate([self.values[j, 0 if top else -1] for j, top in sides]) * weight if n else weight
         read, seen, at = np.zeros(n), np.zeros((len(lists), n)), 0
         others = self.ids != own
         alive = np.flatnonzero(others)
         for depth in DEPTHS if len(lists) else ():
             end = min(n, max(at + 1, int(np.ceil(depth * n))))
-            rows, gain = order[:, at:end], values[:, at:end] * weight[:, None]
+            spans = [slice(n - end, n - at) if top else slice(at, end) for _, top in sides]
+            rows = np.concatenate([self.order[j, s] for (j, _), s in zip(sides, spans)])
+            gain = np.concatenate([self.values[j, s] for (j, _), s in zip(sides, spans)]) * weight[:, None]
             read += np.bincount(rows.ravel(), gain.ravel(), n)
+            at = end
+            if at == n:  # every score is known
+                alive = np.flatnonzero(others & (read >= floor))
+                break
             seen[np.arange(len(lists))[:, None], rows] = 1
-            frontier, at = gain[:, -1], end
+            ups = len(sides[0][0])
+            frontier = np.concatenate([gain[:ups, 0], gain[ups:, -1]])
             lower = np.where(others, read + worst.sum() - worst @ seen, -np.inf)
             upper = read + frontier.sum() - frontier @ seen
-            bar = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+            bar = max(floor, np.partition(lower, n - k)[n - k] if n > k else -np.inf)
             alive = np.flatnonzero(others & (upper >= bar))
-            if at == n or len(alive) <= max(2 * k, n // 64):
+            if len(alive) <= max(2 * k, n // 2):
                 break
         scores = self.rows[alive] @ query
         best = np.lexsort((self.ids[alive], -scores))[:k]
+        best = best[scores[best] >= floor]
         return self.ids[alive][best], scores[best], at
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, SortedLists | None, np.ndarray, np.ndarray]]:
+    """(cell, lists of its shard, query ids, query vectors); the lists of a shard are sorted once for cells in a row."""
+    held, lists = None, None
+    for batch in batches:
+        for cell in batch.to_pylist():
+            if cell["ids"] is not None and (cell["ids"], cell["rows"]) != held:
+                held, ids = (cell["ids"], cell["rows"]), np.frombuffer(cell["ids"], "<i8")
+                lists = SortedLists(ids, np.frombuffer(cell["rows"], "<f8").reshape(len(ids), cell["dim"]))
+            queries = np.frombuffer(cell["query_ids"], "<i8")
+            vectors = np.frombuffer(cell["query_rows"], "<f8").reshape(len(queries), cell["dim"])
+            yield cell, lists if cell["ids"] is not None else None, queries, vectors
+
+
+def _floors(k: int):
+    """Blocks with the k-th score of each query in the shard that the block meets first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, lists, queries, vectors in _cells(batches):
+            tops = [lists.top(v, q, k)[1] if lists else [] for q, v in zip(queries, vectors)]
+            floors = np.array([t[-1] if len(t) == k else -np.inf for t in tops], "<f8")
+            yield pa.RecordBatch.from_pylist([{"dim": cell["dim"], "query_ids": cell["query_ids"], "query_rows": cell["query_rows"], "floors": floors.tobytes()}],
+                                             schema=pa.schema([("dim", pa.int32()), ("query_ids", pa.binary()), ("query_rows", pa.binary()), ("floors", pa.binary())]))
+    return run
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        held, lists = None, None
-        for batch in batches:
-            for cell in batch.to_pylist():
-                dim = cell["dim"]
-                if (cell["ids"], cell["rows"]) != held:
-                    held = cell["ids"], cell["rows"]
-                    ids = np.frombuffer(cell["ids"], "<i8")
-                    lists = SortedLists(ids, np.frombuffer(cell["rows"], "<f8").reshape(len(ids), dim))
-                queries = np.frombuffer(cell["query_ids"], "<i8")
-                vectors = np.frombuffer(cell["query_rows"], "<f8").reshape(len(queries), dim)
-                found = [(q, xxh64_intdigest(v.tobytes()) >> 1, *lists.top(v, q, k)[:2]) for q, v in zip(queries, vectors)]
-                counts = [len(f[2]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([f[0] for f in found], counts), pa.int64()),
-                     pa.array(np.repeat([f[1] for f in found], counts), pa.int64()),
-                     pa.array(np.concatenate([f[2] for f in found]), pa.int64()),
-                     pa.array(np.concatenate([f[3] for f in found]).astype("int64"), pa.int64())], schema=schema)
+        schema = pa.schema([(c, pa.int64()) for c in ("query_id", "query", "vec_id", "score")])
+        for cell, lists, queries, vectors in _cells(batches):
+            floors = np.frombuffer(cell["floors"], "<f8")
+            found = [(q, xxh64_intdigest(v.tobytes()) >> 1, *lists.top(v, q, k, f)[:2]) for q, v, f in zip(queries, vectors, floors)]
+            counts = [len(f[2]) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat([f[0] for f in found], counts), pa.int64()),
+                 pa.array(np.repeat(np.array([f[1] for f in found], np.int64), counts), pa.int64()),
+                 pa.array(np.concatenate([f[2] for f in found]), pa.int64()),
+                 pa.array(np.concatenate([f[3] for f in found]).astype("int64"), pa.int64())], schema=schema)
     return run
 
 
@@ -132,11 +157,14 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     bound_batches(spark)
     shards = max(1, -(-candidates.count() // SHARD_ROWS))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    asked = packed(queries, blocks, BLOCK_QUERIES).select(
-        "dim", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"))
     stored = packed(candidates, shards, SHARD_ROWS)
+    asked = packed(queries, blocks, BLOCK_QUERIES).select(
+        "dim", (F.col("part") % shards).alias("part"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"))
     # numbered repartitions stay as they are: small in bytes, the cells are large in work
+    first = asked.repartition(min(blocks, shards), "dim", "part").join(
+        stored.dropDuplicates(["dim", "part"]).repartition(min(blocks, shards), "dim", "part"), ["dim", "part"], "left")
+    asked = through_table(first.mapInArrow(_floors(k), "dim int, query_ids binary, query_rows binary, floors binary"), "floors")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     cells = stored.repartition(shards, "dim", "part").join(asked.repartition(shards, "dim", "part"), ["dim", "part"])
     found = cells.mapInArrow(_search(k), "query_id long, query long, vec_id long, score long")
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
