@@ -40,7 +40,8 @@ from matricula.llm.base import (bound_batches, crc_fold, local_path, read_stream
 FOLDS = 10
 SHARD_BYTES = 16 << 20  # of training text for one shard
 MAX_SHARDS = 1 << 14
-FLUSH_TOKENS = 1 << 22  # combined in a task before its counts leave it
+FLUSH_TOKENS = 1 << 21  # combined in a task before its counts leave it
+SCORED_BYTES = 3 << 20  # of text scored together: some twenty arrays of its tokens
 SPLIT_CONTEXT = 1 << 17  # occurrences after which a context is dealt to one more shard
 END = b" "  # not a word: words hold no space
 WORDS, COUNTS = "<u8", "<u8"
@@ -437,7 +438,7 @@ def score(docs: DataFrame, model: Model, text: Column) -> DataFrame:
                 pa.array([model.tokens] * len(lengths), pa.int64()),
                 pa.array(np.bincount(doc, base[numbers], len(lengths))), pa.array(np.bincount(doc, logs, len(lengths)))], schema=schema)
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, SCORED_BYTES)
     return docs.select(F.col("doc_id").cast("long"), "held_out", text.alias("text")).mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
