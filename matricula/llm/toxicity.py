@@ -7,8 +7,8 @@ the largest logit is the text's. Documents are labelled, windows are not: after
 windows of a document carry its label, only the likeliest windows of a toxic document do.
 
 The model learns from at most `SAMPLE` labelled documents of each class (drawn by a hash of the id) and
-`WINDOWS_PER_DOC` windows of each, never from those of fold 0; every fifth of them, with up to
-`CALIBRATION_WINDOWS` windows, is kept from training and sets where the score crosses 0.5. Nothing but the text enters a score.
+`WINDOWS_PER_DOC` windows of each, never from those of fold 0; those of fold 1, with up to
+`CALIBRATION_WINDOWS` windows, are kept from training and set where the score crosses 0.5. Nothing but the text enters a score.
 
 Defined results: null and empty texts are scored as one window without words. Null labels and ids are
 not learned from; repeated rows are scored row by row. Without labels of both classes every score is the
@@ -29,7 +29,7 @@ from xxhash import xxh32_intdigest
 from matricula.llm.base import bound_batches, crc_fold, register, table
 
 SAMPLE, FOLDS, WINDOWS_PER_DOC = 5000, 5, 8
-CALIBRATION, CALIBRATION_WINDOWS = 5, 32  # every 5th document of the sample is not trained on
+CALIBRATION_FOLD, CALIBRATION_WINDOWS = 1, 32  # documents of this fold are not trained on
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS, CHARS = 8, 8, 8, 1 << 13, 16
 MIN_COUNT, EPOCHS, BATCH, RATE, CHAR_PACE, SEED = 3, 5, 96, 0.005, 0.5, 11
@@ -53,12 +53,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def trigram_codes(words: list[bytes]) -> np.ndarray:
     """(words, CHARS) trigram buckets of each word with its borders; 0 is no trigram."""
-    text = np.zeros((len(words), CHARS + 2), np.uint8)
-    for n, w in enumerate(words):
-        w = b"^" + w[:CHARS] + b"$"
-        text[n, :len(w)] = np.frombuffer(w, np.uint8)
-    a, b, c = (text[:, i:i + CHARS].astype(np.int64) for i in range(3))
-    return np.where(c > 0, 1 + (a * 8191 + b * 131 + c * 17) % (TRIGRAMS - 1), 0)
+    out = np.zeros((len(words), CHARS), np.uint16)
+    for at in range(0, len(words), CHUNK):
+        part = [b"^" + w[:CHARS] + b"$" for w in words[at:at + CHUNK]]
+        text = np.frombuffer(b"".join(w.ljust(CHARS + 2, b"\0") for w in part), np.uint8).reshape(-1, CHARS + 2).astype(np.int32)
+        a, b, c = (text[:, i:i + CHARS] for i in range(3))
+        out[at:at + CHUNK] = np.where(c > 0, 1 + (a * 8191 + b * 131 + c * 17) % (TRIGRAMS - 1), 0)
+    return out
 
 
 class Network:
@@ -193,11 +194,13 @@ class Network:
 
 
     def calibrate(self, best: np.ndarray, y: np.ndarray) -> None:
-        """A logistic fit of the labels on the largest logits: it sets 0.5 amid the gap between the classes."""
+        """A logistic fit of the labels on the largest logits, both classes weighing alike: it sets 0.5 amid the gap."""
+        each = np.where(y == 1, (y == 0).sum() / max(1, y.sum()), 1.0)
         z, w = np.stack([best.astype(float), np.ones(len(best))], 1), np.array([1.0, 0.0])
         for _ in range(100):
             p = _sigmoid(z @ w)
-            step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + 0.1 * np.diag([1, 1e-3]), z.T @ (y - p) - 0.1 * np.array([w[0], 0]))
+            curve = z.T @ (z * (each * p * (1 - p) + 1e-9)[:, None]) + 0.1 * np.diag([1, 1e-3])
+            step = np.linalg.solve(curve, z.T @ (each * (y - p)) - 0.1 * np.array([w[0], 0]))
             w = w + np.clip(step, -1, 1)
             if np.abs(step).max() < 1e-6:
                 break
@@ -214,14 +217,14 @@ def _indexed(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.nd
     return list(place), index, mask
 
 
-def fit(windows: list[list[list[bytes]]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """windows: for each document some of its windows, each a list of words."""
+def fit(windows: list[list[list[bytes]]], labels: list[int], held: list[bool], epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """windows: for each document some of its windows, each a list of words; `held` ones set the border only."""
     rng = np.random.default_rng(seed)
     counts = Counter(w.strip(STRIPPED) for doc in windows for win in doc for w in win)
     vocabulary = {w: n + 1 for n, w in enumerate(sorted(w for w, c in counts.items() if c >= MIN_COUNT and w))}
-    everything, y_all = windows, np.array(labels, np.float32)
-    held = np.arange(len(windows)) % CALIBRATION == 0  # these set the border, on more of their windows
-    windows = [doc[:WINDOWS_PER_DOC] for doc, h in zip(windows, held) if not h]
+    y_all, held = np.array(labels, np.float32), np.array(held, bool)
+    texts = [doc for doc, h in zip(windows, held) if h]
+    windows = [doc for doc, h in zip(windows, held) if not h]
     y = y_all[~held]
     share = (y_all.sum() + 1) / (len(y_all) + 2)
     net = Network(vocabulary, rng, float(np.log(share / (1 - share))))
@@ -252,7 +255,6 @@ def fit(windows: list[list[list[bytes]]], labels: list[int], epochs: int = EPOCH
             g = net.gradients(rows[used], codes[used], n_grams[used], inverse.reshape(len(batch), WINDOW),
                               mask[batch], y[owner[batch]])
             net.step(g, moments, RATE * (1 - epoch / epochs))
-    texts = [d for d, h in zip(everything, held) if h]
     words, index, mask = _indexed([w for doc in texts for w in doc])
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, np.repeat(np.arange(len(texts)), [len(d) for d in texts]), net.logits(net.embed(*net.inputs(words)), index, mask))
@@ -284,7 +286,7 @@ def score_texts(net: Network, texts: list[bytes | None]) -> np.ndarray:
     return best * net.slope + net.shift
 
 
-def sampled_windows(text: bytes | None, most: int = CALIBRATION_WINDOWS) -> list[bytes]:
+def sampled_windows(text: bytes | None, most: int = WINDOWS_PER_DOC) -> list[bytes]:
     """At most `most` windows of a text, drawn by a hash of their place and words."""
     words = split_words(text)
     found = [b" ".join(words[s:s + WINDOW]) for s in window_starts(len(words))]
@@ -298,16 +300,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     chosen = known.filter("toxic = 1").orderBy(*order).limit(sample).union(known.filter("toxic = 0").orderBy(*order).limit(sample))
 
     @F.pandas_udf("array<binary>")
-    def windows(texts: pd.Series) -> pd.Series:
-        return pd.Series([sampled_windows(t) for t in texts])
+    def windows(texts: pd.Series, held: pd.Series) -> pd.Series:
+        return pd.Series([sampled_windows(t, CALIBRATION_WINDOWS if h else WINDOWS_PER_DOC) for t, h in zip(texts, held)])
 
     bound_batches(docs.sparkSession)
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
-        .select("toxic", F.xxhash64("text").alias("h"), windows(F.col("text").cast("binary")).alias("w"))
-        .orderBy("h", "toxic").limit(4 * sample).collect()
+        .withColumn("held", crc_fold(F.col("doc_id"), FOLDS) == CALIBRATION_FOLD)
+        .select("toxic", "held", F.xxhash64("text").alias("h"), windows(F.col("text").cast("binary"), "held").alias("w"))
+        .orderBy("h", "toxic").limit(4 * sample).toLocalIterator()
     )
-    return fit([[bytes(w).split() for w in r["w"]] for r in rows], [int(r["toxic"]) for r in rows])
+    one: dict[bytes, bytes] = {}  # a word is kept once, however often it occurs
+    docs_, labels_, held = [], [], []
+    for r in rows:
+        docs_.append([[one.setdefault(w, w) for w in bytes(window).split()] for window in r["w"]])
+        labels_.append(int(r["toxic"]))
+        held.append(r["held"])
+    return fit(docs_, labels_, held)
 
 
 def with_toxicity(docs: DataFrame, net: Network, text: str = "text", name: str = "toxicity") -> DataFrame:
