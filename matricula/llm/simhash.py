@@ -76,10 +76,9 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return edges.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Add component_id to rows with doc_id and fingerprint. `prints` is read several times: pass a table."""
+def with_components(prints: DataFrame, parts: DataFrame) -> DataFrame:
+    """Add component_id to rows with doc_id and fingerprint; parts(node, root) are the linked fingerprints."""
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
-    parts = components(links(distinct.select("fingerprint"), radius))
     member = distinct.join(parts, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
     ids = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -87,6 +86,18 @@ def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.drop("component_id").join(member, "fingerprint").select(*prints.drop("component_id").columns, "component_id")
 
 
+def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Add component_id to rows with doc_id and fingerprint. `prints` is read several times: pass a table."""
+    return with_components(prints, components(links(prints.select("fingerprint").distinct(), radius)))
+
+
+def first_of_each(judged: DataFrame) -> DataFrame:
+    """judged(doc_id, fingerprint, row, component_id) -> the row with each component's id (of repeated ids, one)."""
+    first = judged.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(
+        F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)), "row")).alias("first"))
+    return first.select(F.col("first.row").alias("row"))
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component: that with the component's id (of repeated ids, one row)."""
     own = docs.columns
@@ -94,9 +105,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         with_fingerprints(docs.select(F.struct(*own).alias("doc"), "doc_id", "text")).select(
             "doc", "doc_id", "fingerprint", F.monotonically_increasing_id().alias("row")), "fingerprints")
     judged = near_duplicates(rows.select("doc_id", "fingerprint", "row"), radius)
-    first = judged.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(
-        F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)), "row")).alias("first"))
-    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")
+    return rows.join(first_of_each(judged), "row", "left_semi").select("doc.*")
 
 
 @register("op1_simhash_dups")
