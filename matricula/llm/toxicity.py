@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is its own embedding (words of the training windows; others share one) beside the mean
-embedding of its character trigrams. The network reads windows of `WINDOW` words; attention over its
+embedding of its character trigrams; a word of over `CHARS` bytes, as in texts without spaces, is read as several
+overlapping pieces, each a word of its own. The network reads windows of `WINDOW` words; attention over its
 states gives one vector and a logit. All overlapping windows of a text are scored, to its very end, and
 the largest logit is the text's. Documents are labelled, windows are not: after a first round in which all
 windows of a document carry its label, only the likeliest windows of a toxic document do.
@@ -32,14 +33,27 @@ SAMPLE, FOLDS, WINDOWS_PER_DOC = 5000, 5, 8
 CALIBRATION_FOLD, CALIBRATION_WINDOWS = 1, 32  # documents of this fold are not trained on
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS, CHARS = 8, 8, 8, 1 << 13, 16
+PIECE_STEP = 12  # whole characters of three or four bytes
 MIN_COUNT, EPOCHS, BATCH, RATE, CHAR_PACE, SEED = 3, 5, 96, 0.005, 0.5, 11
 CHUNK = 4096  # windows scored together
 DECAY, MIN_STEPS = 0.05, 400
 STRIPPED = b".,;:!?\"'()[]{}|*_-"
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A word, or its overlapping pieces of CHARS bytes: every byte and every trigram lies whole in one."""
+    bare = word.strip(STRIPPED) or word
+    if len(bare) <= CHARS:
+        return [word]
+    return [bare[at:at + CHARS] for at in range(0, len(bare) - CHARS + PIECE_STEP, PIECE_STEP)]
+
+
 def split_words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+    """The steps of the network: words, longer ones in pieces."""
+    words = (text or b"").lower().split()
+    if max(map(len, words), default=0) <= CHARS:
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) > CHARS else (w,))]
 
 
 def window_starts(n: int) -> range:

@@ -85,3 +85,30 @@ def test_without_labels(spark):
     net = T.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [round(r.score, 6) for r in T.with_toxicity(docs, net, name="score").collect()] == [0.5, 0.5]
     assert T.with_toxicity(docs.limit(0), net).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 28, 29, 40, 41, 1000])
+def test_pieces_hold_every_trigram(n):
+    word = bytes(random.Random(n).choices(b"abcdefghij", k=n))
+    found = T.split_words(word)
+    assert all(0 < len(p) <= T.CHARS for p in found) and (found == [word]) == (n <= T.CHARS)
+    at = 0
+    for p in found:
+        assert word[at:at + T.CHARS] == p
+        at += T.PIECE_STEP
+    assert word.endswith(found[-1]) and len(found) == max(1, -(-(n - T.CHARS) // T.PIECE_STEP) + 1)
+    assert T.split_words(b"(" + b"x" * 16 + b"),") == [b"(" + b"x" * 16 + b"),"]
+
+
+def test_toxic_end_of_a_text_without_spaces(spark):
+    random.seed(6)
+    rows = []
+    for i in range(600):
+        text = "".join(chr(0x4E00 + random.randrange(300)) for _ in range(random.choice([30, 120, 400])))
+        rows.append((i, text + ("惡毒罵人惡毒" if i % 3 == 0 else ""), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    net = T.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in T.with_toxicity(docs.filter(T.crc_fold(docs.doc_id, T.FOLDS) == 0), net, name="score").collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows if i in got]) > 0.9
+    end = T.score_texts(net, [("_".join(["word"] * 500) + e).encode() for e in ("", "惡毒罵人惡毒")])
+    assert end[1] > end[0]
