@@ -1,4 +1,18 @@
 """Loads every operator module, so that base.QUERIES and base.ORACLES are complete."""
 
-from matricula.llm import mixing, ngram_lm, packing, quality, simhash, sketches, topk, toxicity, url_filter, warc  # noqa: F401
+from matricula.llm import (  # noqa: F401
+    alignment,
+    mixing,
+    ngram_lm,
+    packing,
+    pieces,
+    quality,
+    runs,
+    simhash,
+    sketches,
+    topk,
+    toxicity,
+    url_filter,
+    warc,
+)
 from matricula.llm.base import ORACLES, QUERIES  # noqa: F401
