@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
+import sys
+from array import array
 
-CACHED_WORDS = 1 << 18
+from matricula.llm.pieces import TwoGenerations
+
+CACHED_WORDS = 1 << 18  # of a generation
 _LOADED: dict[str, WordIds] = {}
 
 
@@ -20,39 +23,33 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[bytes, bytes] = {}
+        self.words = TwoGenerations(self._encode, CACHED_WORDS)
         # the byte-level alphabet: printable Latin-1 stays, other bytes move above 255
-        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         moved = (256 + i for i in range(256))
-        self.alphabet = {b: b if b in set(kept) else next(moved) for b in range(256)}
+        self.shown = [chr(b if b in kept else next(moved)) for b in range(256)]
+
+    def _ids(self, word: bytes) -> array:
+        if word.isalpha() and word.islower():  # ASCII
+            return array("I", [t.id for t in self.model.tokenize(word.decode())])
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "İ":
+            text = "".join(map(self.shown.__getitem__, text.lower().encode()))
+            return array("I", [t.id for t in self.model.tokenize(text)])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _encode(self, word: bytes) -> bytes:
         last = word[-1:]
         if last in b".," and len(word) > 1 and word[-2:-1].isalpha():  # a single mark after an ASCII letter
-            return self._word(word[:-1]) + self._word(last)
-        text = word.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "İ":
-            shown = text.lower().encode().decode("latin-1").translate(self.alphabet)
-            ids = [t.id for t in self.model.tokenize(shown)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self.words[word] = self._encode(word)
-        return found
+            return self.words[word[:-1]] + self.words[last]
+        ids = self._ids(word)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, text: bytes) -> bytes:
         """The ids as unsigned little-endian 32-bit integers."""
         words = text.split() if b"<|" in text else text.lower().split()  # special tokens keep their case
-        new = set(words).difference(self.words)
-        if new and len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = set(words)
-        for word in new:
-            self._word(word)
         return b"".join(map(self.words.__getitem__, words))
 
 

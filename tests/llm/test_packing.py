@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from matricula.llm import packing
 from matricula.llm.tokens import WordIds
@@ -54,6 +56,22 @@ def test_words_give_the_tokenizers_ids():
         assert np.frombuffer(ids(text.encode()), "<u4").tolist() == want, text
 
 
+IDS = WordIds(packing.tokenizer_path())
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="aAzZéÉßÿŸİªµ.,'s1 \n\x1c\x85\u0301\u3000|<>", max_size=60)))
+def test_any_text_gives_the_tokenizers_ids(text):
+    assert np.frombuffer(IDS(text.encode()), "<u4").tolist() == IDS.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_full_cache_changes_nothing():
+    ids = WordIds(packing.tokenizer_path())
+    ids.words.limit = 3
+    text = "one two, three. four five six, one two, seven " * 3
+    assert np.frombuffer(ids(text.encode()), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_limits_must_be_positive(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.range(1), "", tokens=0)
