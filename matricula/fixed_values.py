@@ -154,6 +154,18 @@ COMPOUND_SUFFIXES = (
     "edu.sg", "edu.hk", "edu.mx", "edu.br", "co.uk", "com.au",
 )
 
+#: Public-suffix rules: `*.` stands for any one label, `!` excepts a name from such a rule.
+SUFFIX_RULES = (
+    "com", "edu", "gov", "net", "org", "ac", "ac.at", "ac.be", "ac.cn", "ac.cr", "ac.cy", "ac.id", "ac.il", "ac.in",
+    "ac.ir", "ac.jp", "ac.ke", "ac.kr", "ac.lk", "ac.ma", "ac.nz", "ac.rs", "ac.th", "ac.tz", "ac.ug", "ac.uk", "ac.za",
+    "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.hk", "com.mx",
+    "com.pl", "com.sg", "com.tr", "com.tw", "edu.ar", "edu.au", "edu.bd", "edu.br", "edu.cn", "edu.co", "edu.ec",
+    "edu.eg", "edu.gh", "edu.gr", "edu.hk", "edu.it", "edu.jo", "edu.lb", "edu.mt", "edu.mx", "edu.my", "edu.ng",
+    "edu.pe", "edu.ph", "edu.pk", "edu.pl", "edu.qa", "edu.ro", "edu.rs", "edu.ru", "edu.sa", "edu.sg", "edu.tr",
+    "edu.tw", "edu.ua", "edu.uy", "edu.vn", "gov.uk", "org.au", "org.uk", "*.ck", "!www.ck", "*.kobe.jp",
+    "!city.kobe.jp", "*.bd", "*.np",
+)
+
 # -------------------------------------------------------- directory walking --
 PROFILE_PATTERNS = ("/faculty/", "/people/", "/profile", "?id=", "/directory/")
 ASSET_EXTENSIONS = (

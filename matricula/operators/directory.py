@@ -14,6 +14,7 @@ from matricula.functions import html as H
 from matricula.functions import numeric as N
 from matricula.functions import text as T
 from matricula.functions import urls as U
+from matricula.operators import domains as D
 from matricula.operators.common import breadth_first, left_out, pending, spread, top_n
 from matricula.session import cut_lineage
 
@@ -74,7 +75,10 @@ def page_links(pages: DataFrame) -> DataFrame:
     ).filter(F.lower("href").rlike("^https?://"))
 
 
-def same_domain(links: DataFrame) -> DataFrame:
+def same_domain(links: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Links inside one registrable domain: by public-suffix rules (see `domains`) if given, else by the fixed compound suffixes."""
+    if rules is not None:
+        return D.same_site(links, rules)
     return links.filter(
         U.registrable_domain(F.col("href")) == U.registrable_domain(F.col("page_url"))
     )
@@ -92,12 +96,12 @@ def classified_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def links_matching(links: DataFrame, hints: tuple[str, ...]) -> DataFrame:
+def links_matching(links: DataFrame, hints: tuple[str, ...], rules: DataFrame | None = None) -> DataFrame:
     """On-domain links whose path or text mentions a hint; self links and repeats dropped."""
     target = F.regexp_replace("href", "#.*$", "")
     strip = lambda c: F.regexp_replace(c, "/+$", "")
     hay = F.concat_ws(" ", F.lower(U.path(F.col("href"))), F.lower("text"))
-    found = same_domain(links).filter(hay.rlike("|".join(hints))).withColumn("href", target)
+    found = same_domain(links, rules).filter(hay.rlike("|".join(hints))).withColumn("href", target)
     return (
         found.filter(strip(F.col("href")) != strip(F.col("page_url")))
         .groupBy("page_url", "href")

@@ -9,6 +9,7 @@ from matricula.functions import html as H
 from matricula.functions import text as T
 from matricula.functions import urls as U
 from matricula.operators import directory as R
+from matricula.operators import domains as D
 from matricula.operators.common import spread
 from workload.registry import query
 
@@ -593,3 +594,72 @@ def department_walk(t):
     )
     pages = departments.select("url", "body").unionByName(index_pages).withColumn("status", F.lit(200))
     return R.department_people_pages(schools, pages, V.MAX_DEPARTMENTS_PER_SCHOOL)
+
+
+_RULES = ", ".join(f"('{r.removeprefix('!').removeprefix('*.')}', {-1 if r[0] == '!' else int(r[0] == '*')})" for r in V.SUFFIX_RULES)
+#: hosts(host) -> domains(host, suffix, domain), every host beside every rule
+_DOMAINS = f"""rules(k, gain) as (values {_RULES}),
+    parts as (select distinct host, string_split(host, '.') l, regexp_matches(host, '^[0-9.]+$') ip from hosts),
+    met as (select host, max(case when gain < 0 then 1000 else 0 end + len(string_split(k, '.')) + gain) z from parts join rules
+        on not ip and (host = k or ends_with(host, '.' || k)) and len(string_split(k, '.')) + gain <= len(l) group by host),
+    sized as (select host, l, case when not ip then coalesce(z % 1000, 1) end z from parts left join met using (host)),
+    domains as (select host, array_to_string(l[len(l) - z + 1:], '.') suffix, case when len(l) > z then array_to_string(l[len(l) - z:], '.') end \"domain\" from sized)"""
+_MADE_URLS = """select c_custkey, case c_custkey % 9 when 0 then 'https://www.u' || c_custkey // 18 || '.edu.pl/people' when 1 then 'https://Math.u' || c_custkey // 18 || '.EDU.PL:8080/'
+    when 2 then 'http://u' || c_custkey || '.edu.pl' when 3 then 'https://cs.dept' || c_custkey || '.town.ck/a?b=//c' when 4 then 'https://me@a' || c_custkey || '.www.ck/'
+    when 5 then 'https://x.y' || c_custkey || '.port.kobe.jp' when 6 then 'https://x' || c_custkey || '.city.kobe.jp./' when 7 then 'https://edu.pl/' || c_custkey else 'http://10.0.0.' || c_custkey % 256 end url from {customer}"""
+
+
+@query(
+    "suffix_domains",
+    "T8",
+    f"""with made as ({_MADE_URLS}), hosts as (select c_custkey, rtrim(regexp_replace(regexp_extract(lower(url), '://([^/?#]*)', 1), '^.*@|:[0-9]+$', '', 'g'), '.') host from made), {_DOMAINS}
+      select c_custkey, host, suffix, \"domain\" from hosts join domains using (host)""",
+)
+def suffix_domains(t):
+    """Wildcard and exception rules, names under edu.pl, subdomains, bare suffixes and addresses."""
+    rows = _made_urls(t).select("c_custkey", D.host(F.col("made")).alias("host"))
+    return rows.join(D.registrable(rows, D.default_rules(t.spark)), "host").select("c_custkey", "host", "suffix", "domain")
+
+
+def _made_urls(t):
+    k = F.col("c_custkey")
+    n, group = k.cast("string"), F.floor(k / 18).cast("string")
+    made = (
+        F.concat(F.lit("https://www.u"), group, F.lit(".edu.pl/people")), F.concat(F.lit("https://Math.u"), group, F.lit(".EDU.PL:8080/")),
+        F.concat(F.lit("http://u"), n, F.lit(".edu.pl")), F.concat(F.lit("https://cs.dept"), n, F.lit(".town.ck/a?b=//c")),
+        F.concat(F.lit("https://me@a"), n, F.lit(".www.ck/")), F.concat(F.lit("https://x.y"), n, F.lit(".port.kobe.jp")),
+        F.concat(F.lit("https://x"), n, F.lit(".city.kobe.jp./")), F.concat(F.lit("https://edu.pl/"), n),
+        F.concat(F.lit("http://10.0.0."), (k % 256).cast("string")),
+    )
+    return t["customer"].select(k, F.get(F.array(*made), (k % 9).cast("int")).alias("made"))
+
+
+@query(
+    "site_links",
+    "F19 T8",
+    f"""with made as ({_MADE_URLS}), linked as (select p.page_id, m.url page_url, o.url href from {{pages}} p join made m on m.c_custkey = 1 + p.page_id % (select count(*) from made)
+        join made o on o.c_custkey = 1 + (p.page_id * 7 + 1) % (select count(*) from made)),
+      links as (select page_id, m[1] page_url, m[2] href from (select page_id, unnest([[page_url, href], [url, 'https://lib.' || host || '/x'], [url, 'https://other' || page_id % 5 || '.example.org/']]) m from
+        (select *, regexp_extract(lower(url), '://([^/?#]*)', 1) host from linked join {{pages}} using (page_id)) z)),
+      two as (select *, rtrim(regexp_replace(regexp_extract(lower(page_url), '://([^/?#]*)', 1), '^.*@|:[0-9]+$', '', 'g'), '.') p, rtrim(regexp_replace(regexp_extract(lower(href), '://([^/?#]*)', 1), '^.*@|:[0-9]+$', '', 'g'), '.') q from links),
+      hosts as (select p host from two union select q from two), {_DOMAINS}
+      select page_id, page_url, href from two left join domains a on a.host = p left join domains b on b.host = q where p <> '' and (p = q or a.\"domain\" = b.\"domain\")""",
+)
+def site_links(t):
+    """Links of every page to a host under its own, to a host elsewhere, and between made-up universities."""
+    return D.same_site(_made_links(t), D.default_rules(t.spark))
+
+
+def _made_links(t):
+    made = _made_urls(t)
+    n = made.count()
+    pages = t["pages"].withColumns({"a": 1 + F.col("page_id") % n, "b": 1 + (F.col("page_id") * 7 + 1) % n})
+    host = F.lower(U.netloc(F.col("url")))
+    own = F.array(
+        F.struct(F.col("ua").alias("page_url"), F.col("ub").alias("href")),
+        F.struct(F.col("url").alias("page_url"), F.concat(F.lit("https://lib."), host, F.lit("/x")).alias("href")),
+        F.struct(F.col("url").alias("page_url"), F.concat(F.lit("https://other"), (F.col("page_id") % 5).cast("string"), F.lit(".example.org/")).alias("href")),
+    )
+    joined = pages.join(made.select(F.col("c_custkey").alias("a"), F.col("made").alias("ua")), "a").join(
+        made.select(F.col("c_custkey").alias("b"), F.col("made").alias("ub")), "b")
+    return joined.select("page_id", F.explode(own).alias("l")).select("page_id", "l.page_url", "l.href")
