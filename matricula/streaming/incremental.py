@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from matricula import schemas
 from matricula.operators import faculty as Y
 from matricula.operators import ranking
-from matricula.operators.common import first_per_key
-from matricula.sources.readers import path_exists
+from matricula.streaming.attempts import FAILED, admitted, rocksdb_state
 
 
 def _write_batch(df: DataFrame, folder: str, batch: str) -> None:
@@ -19,48 +19,41 @@ def _write_batch(df: DataFrame, folder: str, batch: str) -> None:
 
 
 def _write_outcomes(rows: DataFrame, out: str, batch: str) -> None:
-    rows = rows.persist()  # three writes from one evaluation of the batch
+    rows = rows.persist()  # two writes from one evaluation of the batch
     try:
-        _write_batch(rows.filter(F.col("outcome") == "extracted"), f"{out}/rows", batch)
-        ledger = rows.select(
-            "profile_url",
-            F.when(F.col("outcome") == "failed", "failed").otherwise("done").alias("status"),
-            "outcome",
-            F.current_timestamp().alias("updated_at"),
-        )
+        _write_batch(rows.filter(F.col("outcome") == "extracted").drop("status", "attempt"), f"{out}/rows", batch)
+        ledger = rows.select("profile_url", "status", "outcome", "attempt", F.current_timestamp().alias("updated_at"))
         _write_batch(ledger, f"{out}/ledger", batch)
     finally:
         rows.unpersist()
 
 
 def extract_stream(
-    spark: SparkSession, pages: str, out: str, checkpoint: str, max_files: int | None = None
+    spark: SparkSession, pages: str, out: str, checkpoint: str, max_files: int | None = None,
+    max_attempts: int | None = None,
 ) -> StreamingQuery:
     """Append-only pages in, clean rows and a ledger out, each profile URL once.
 
-    Runs over everything available and stops. A batch keeps the earliest fetch of
-    each URL and leaves out what the ledger of other batches holds, so no streaming
-    state grows with the URLs and a replayed batch does the same again. Pages that
-    could not be read land in the ledger as failed and are picked up by `retry_failed`.
+    Runs over everything available and stops. Keyed state (see `attempts`) holds the status of every URL: a settled one
+    is passed over, a failed one (fetched, but its text is missing) is worked on again when it comes again. No batch reads the
+    ledger, which is a log for readers. A replayed batch replaces its own folders.
     """
     reader = spark.readStream.schema(schemas.RAW_PAGE)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.json(pages)
+    unread = (F.col("http_status") == 200) & F.col("html").isNull()
+    stream = admitted(reader.json(pages), unread, "profile_url", max_attempts)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        fresh = first_per_key(batch, ["profile_url"], [F.col("fetched_at").asc_nulls_last(), F.xxhash64("html")])
-        if path_exists(spark, f"{out}/ledger"):
-            known = spark.read.parquet(f"{out}/ledger").filter(F.col("batch").cast("string") != str(batch_id))
-            fresh = fresh.join(known.select("profile_url"), "profile_url", "left_anti")
-        _write_outcomes(Y.extract_deterministic(fresh), out, str(batch_id))
-
-    return (
-        stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        _write_outcomes(Y.extract_deterministic(batch), out, str(batch_id))
+
+    with rocksdb_state(spark):
+        return (
+            stream.writeStream.foreachBatch(each)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def read_rows(spark: SparkSession, out: str) -> DataFrame:
@@ -71,17 +64,20 @@ def read_ledger(spark: SparkSession, out: str) -> DataFrame:
     """Latest status and number of attempts per URL."""
     log = spark.read.parquet(f"{out}/ledger")
     return log.groupBy("profile_url").agg(
-        F.max_by("status", "updated_at").alias("status"), F.count(F.lit(1)).alias("attempts")
+        F.max_by("status", "attempt").alias("status"), F.max("attempt").cast("bigint").alias("attempts")
     )
 
 
-def retry_failed(spark: SparkSession, pages: DataFrame, out: str, attempt: str) -> bool:
-    """Re-extract URLs whose latest status is failed from a fresh page table; False when there are none."""
-    failed = read_ledger(spark, out).filter(F.col("status") == "failed").select("profile_url")
-    todo = pages.join(failed, "profile_url", "left_semi").dropDuplicates(["profile_url"])
+def retry_failed(spark: SparkSession, fresh: DataFrame, pages: str, out: str, checkpoint: str, attempt: str, **settings) -> bool:
+    """Put fresh fetches of failed URLs into the folder `pages` of the stream and run it; False when there are none.
+
+    `settings` are those of the stream. The same attempt twice replaces its own input, which the stream reads once."""
+    failed = read_ledger(spark, out).filter(F.col("status") == FAILED).select("profile_url")
+    todo = fresh.join(failed, "profile_url", "left_semi").select(*(f.name for f in T.StructType.fromDDL(schemas.RAW_PAGE)))
     if todo.isEmpty():
         return False
-    _write_outcomes(Y.extract_deterministic(todo), out, f"retry-{attempt}")
+    todo.write.mode("overwrite").json(f"{pages}/retry-{attempt}")
+    extract_stream(spark, f"{pages}/*", out, checkpoint, **settings).awaitTermination()
     return True
 
 

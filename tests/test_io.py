@@ -144,26 +144,65 @@ def person(name):
     return f'<html><meta name="author" content="{name}"><body>x</body></html>'
 
 
+def rows_and_ledger(spark, out):
+    rows = {r["profile_url"]: r["professor_name"] for r in I.read_rows(spark, out).collect()}
+    assert I.read_rows(spark, out).count() == len(rows)
+    return rows, {r["profile_url"]: (r["status"], r["attempts"]) for r in I.read_ledger(spark, out).collect()}
+
+
 def test_stream_equals_batch_and_retries(spark, tmp_path):
     src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
-    put(src / "a.json", "\n".join([page(1, person("Ann")), page(2, person("Bob"), 404), page(3, None)]))
-    put(src / "b.json", "\n".join([page(1, person("Ann again")), page(4, person("Cy"))]))
+    put(src / "x" / "a.json", "\n".join([page(1, person("Ann")), page(2, person("Bob"), 404), page(3, None), page(1, person("Ann"))]))
+    put(src / "x" / "b.json", "\n".join([page(1, person("Ann again")), page(4, person("Cy"))]))
     for _ in range(2):  # a second run finds nothing new
-        I.extract_stream(spark, str(src), out, ck, max_files=1).awaitTermination()
-    put(src / "c.json", "\n".join([page(4, person("Cy again")), page(5, person("Di"))]))
-    I.extract_stream(spark, str(src), out, ck).awaitTermination()
-    rows = {r["profile_url"]: r["professor_name"] for r in I.read_rows(spark, out).collect()}
-    assert I.read_rows(spark, out).count() == 3 and rows["u5"] == "Di" and set(rows) == {"u1", "u4", "u5"}
-    ledger = {r["profile_url"]: r["status"] for r in I.read_ledger(spark, out).collect()}
-    assert ledger == {"u1": "done", "u2": "done", "u3": "failed", "u4": "done", "u5": "done"}
+        I.extract_stream(spark, f"{src}/*", out, ck, max_files=1).awaitTermination()
+    put(src / "x" / "c.json", "\n".join([page(4, person("Cy again")), page(5, person("Di"))]))
+    I.extract_stream(spark, f"{src}/*", out, ck).awaitTermination()
+    rows, ledger = rows_and_ledger(spark, out)
+    assert rows["u5"] == "Di" and set(rows) == {"u1", "u4", "u5"}
+    assert ledger == {"u1": ("done", 1), "u2": ("done", 1), "u3": ("failed", 1), "u4": ("done", 1), "u5": ("done", 1)}
     put(tmp_path / "again.json", page(3, person("Eve")))
     fresh = spark.read.schema(schemas.RAW_PAGE).json(str(tmp_path / "again.json"))
-    assert I.retry_failed(spark, fresh, out, "1") and not I.retry_failed(spark, fresh, out, "2")
-    assert {r["profile_url"] for r in I.read_rows(spark, out).collect()} == {"u1", "u3", "u4", "u5"}
-    batch = Y.extract_deterministic(spark.read.schema(schemas.RAW_PAGE).json(str(src)).dropDuplicates(["profile_url"]))
+    assert I.retry_failed(spark, fresh, str(src), out, ck, "1") and not I.retry_failed(spark, fresh, str(src), out, ck, "2")
+    rows, ledger = rows_and_ledger(spark, out)
+    assert set(rows) == {"u1", "u3", "u4", "u5"} and ledger["u3"] == ("done", 2)
+    batch = Y.extract_deterministic(spark.read.schema(schemas.RAW_PAGE).json(f"{src}/x").dropDuplicates(["profile_url"]))
     assert {r["profile_url"] for r in batch.filter("outcome = 'extracted'").collect()} == {"u1", "u4", "u5"}
 
 
+def test_stream_state_needs_no_older_ledger(spark, tmp_path):
+    """Each batch's ledger is deleted before the next: what is settled, failed or given up is in the keyed state."""
+    import shutil
+
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    seen = []
+    for n, own in enumerate([
+        [page(1, person("Ann")), page(2, None), page(3, None)],
+        [page(1, person("Ann again")), page(2, None), page(3, person("Cy"))],
+        [page(3, person("Cy again")), page(2, person("too late")), page(1, None), page(4, person("Di"))],
+    ]):
+        put(src / f"{n}.json", "\n".join(own))
+        I.extract_stream(spark, str(src), out, ck, max_attempts=2).awaitTermination()
+        seen.append(rows_and_ledger(spark, out))
+        shutil.rmtree(out)
+    assert seen[0] == ({"u1": "Ann"}, {"u1": ("done", 1), "u2": ("failed", 1), "u3": ("failed", 1)})
+    assert seen[1] == ({"u3": "Cy"}, {"u2": ("given_up", 2), "u3": ("done", 2)})
+    assert seen[2] == ({"u4": "Di"}, {"u4": ("done", 1)})
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), tmp_path / "ck"
+    put(src / "a.json", "\n".join([page(1, person("Ann")), page(2, None)]))
+    I.extract_stream(spark, str(src), out, str(ck)).awaitTermination()
+    put(src / "b.json", "\n".join([page(2, person("Bob")), page(1, person("again"))]))
+    I.extract_stream(spark, str(src), out, str(ck)).awaitTermination()
+    before = rows_and_ledger(spark, out)
+    for name in ("1", ".1.crc"):  # the last batch is not known to have ended
+        (ck / "commits" / name).unlink(missing_ok=True)
+    I.extract_stream(spark, str(src), out, str(ck)).awaitTermination()
+    assert rows_and_ledger(spark, out) == before == ({"u1": "Ann", "u2": "Bob"}, {"u1": ("done", 1), "u2": ("done", 2)})
+
+
 def test_streamed_ranking_equals_batch(spark, tmp_path):
     people, catalog = frame(spark, make_profiles(), PROFILE_SCHEMA), frame(spark, make_universities(), UNI_SCHEMA)
     src, out = str(tmp_path / "req"), str(tmp_path / "ranked")

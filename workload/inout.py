@@ -257,7 +257,7 @@ def retried_extraction(t):
     pages.withColumn("html", F.when(number % 3 != 0, F.col("html"))).write.json(f"{base}/in/a")
     incremental.extract_stream(t.spark, f"{base}/in/*", f"{base}/out", f"{base}/ck").awaitTermination()
     fresh = pages.withColumn("html", F.when(number % 2 == 0, F.col("html")))
-    incremental.retry_failed(t.spark, fresh, f"{base}/out", "1")
+    incremental.retry_failed(t.spark, fresh, f"{base}/in", f"{base}/out", f"{base}/ck", "1")
     return incremental.read_ledger(t.spark, f"{base}/out")
 
 
