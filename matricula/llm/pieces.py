@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from matricula.llm.base import bound_batches, register, table
 
 SPACE = "▁"
-CACHED = 1 << 18  # of a generation
+CACHED, FEW = 1 << 18, 1 << 16  # words of a generation; stretches and pairs of one
+LONG = 32  # longer words are cut wherever they can be
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _LOADED: dict[str, PieceModel] = {}
 
@@ -89,8 +90,8 @@ class PieceModel:
         for b, i in self.bytes_at.items():
             self.raw[i] = bytes([b])
         self.raw[self.unknown] = " ⁇ ".encode()
-        self.compatible = TwoGenerations(lambda pair: self.merged(pair[0] + pair[1]) == [p for p in pair if p])
-        self.stretches = TwoGenerations(self._stretch)
+        self.compatible = TwoGenerations(lambda pair: self.merged(pair[0] + pair[1]) == [p for p in pair if p], 2 * FEW)
+        self.stretches = TwoGenerations(self._stretch, FEW)
         self.words = TwoGenerations(self._word)
 
     def merged(self, text: str) -> list[str]:
@@ -130,8 +131,12 @@ class PieceModel:
         return taken
 
     def _stretch(self, text: str) -> bytes:
-        out = array("i")
-        for piece in self.backtracked(text):
+        taken = self.backtracked(text)
+        try:
+            return array("i", map(self.id_of.__getitem__, taken)).tobytes()
+        except KeyError:  # a character that is no piece
+            out = array("i")
+        for piece in taken:
             known = self.id_of.get(piece)
             if known is not None:
                 out.append(known)
@@ -143,6 +148,11 @@ class PieceModel:
 
     def _word(self, word: str) -> bytes:
         """A key without U+2581 stands for a word after one space."""
+        if len(word) <= LONG:
+            if word.isalpha():
+                return self._stretch(SPACE + word)
+            if word[:-1].isalpha() and (word[-2], word[-1]) not in self.together:  # a mark after a word
+                return self.words[word[:-1]] + self.stretches[word[-1]]
         return self.joined(word if SPACE in word else SPACE + word)
 
     def joined(self, word: str) -> bytes:
