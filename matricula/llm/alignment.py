@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matricula.llm.base import bound_batches, register, table, through_table
-from matricula.llm.pieces import SPACE, PieceModel, model_path, piece_model
+from matricula.llm.pieces import CACHED, SPACE, PieceModel, TwoGenerations, model_path, piece_model
 
-STRETCHES, WORDS = 1 << 18, 1 << 22
+STRETCHES, WORDS = 1 << 17, 1 << 21
+ENCODED, ALIGNED = 1 << 12, 1 << 15  # stretches that A reads at once, and that are aligned at once
 BLOCKS_OF_A_TASK = 1 << 32
 ROWS, BYTES = 4096, 8 << 20  # of a batch that leaves a task
 B_IDS = 1 << 24  # more than any vocabulary has: an id pair is a * B_IDS + b
@@ -81,6 +83,28 @@ class Tokenizers:
             step = json.load(f)["pre_tokenizer"]
         cuts_words = step["type"] == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
         self.cut = cuts_words and self.b.splits_words and not any(y == "\n" for _, y in self.b.together)
+        self.a_ids = TwoGenerations(self._a_ids, CACHED // 2)
+
+    def _a_ids(self, stretch: str) -> bytes:
+        return array("i", self.a.encode(stretch, add_special_tokens=False).ids).tobytes()
+
+    def all_a_ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of A; those not kept are made in batches."""
+        known, old = self.a_ids, self.a_ids.old
+        new = [s for s in stretches if s not in known and s not in old]
+        made = {}
+        for at in range(0, len(new), ENCODED):
+            part = new[at:at + ENCODED]
+            made.update(zip(part, (array("i", e.ids).tobytes() for e in self.a.encode_batch_fast(part, add_special_tokens=False))))
+        out = [made[s] if s in made else known[s] for s in stretches]
+        for s, ids in made.items():
+            known.keep(s, ids)
+        return out
+
+    def b_ids(self, stretch: str) -> bytes:
+        if stretch[0] == " " and stretch.count(" ") == 1 and len(stretch) > 1 and SPACE not in stretch:
+            return self.b.words[stretch[1:]]
+        return self.b.joined(stretch.replace(" ", SPACE))
 
     def stretches(self, text: bytes | None) -> list[str]:
         if not text:
@@ -96,25 +120,33 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return _LOADED[a_path, b_path]
 
 
+def covers(raw_of: list[bytes], ids: bytes, raw: bytes) -> bool:
+    """Whether the tokens' bytes are those of a stretch."""
+    return b"".join(map(raw_of.__getitem__, np.frombuffer(ids, np.int32).tolist())) == raw
+
+
+def _sums(size: np.ndarray, ids: list[bytes]) -> np.ndarray:
+    """The bytes of each stretch's tokens."""
+    upto = np.cumsum(np.concatenate([[0], size[np.frombuffer(b"".join(ids), np.int32)]]))
+    return np.diff(upto[np.cumsum([0, *map(len, ids)]) // 4])
+
+
 class Aligned:
     """Stretches aligned all at once: numbers of each, its groups as text, and its links one after another."""
 
     def __init__(self, t: Tokenizers, stretches: list[str]) -> None:
         raw = [s.encode("utf-8", "surrogateescape") for s in stretches]
         whole = [s if s.isascii() else r.decode("utf-8", "replace") for s, r in zip(stretches, raw)]
-        a = [np.array(e.ids, np.int64) for e in t.a.encode_batch(whole, add_special_tokens=False)]
-        b = [np.frombuffer(t.b.joined(s.replace(" ", SPACE)), np.int32).astype(np.int64) for s in whole]
-        self.ok = np.ones(len(raw), bool)
-        for n, r in enumerate(raw):
-            if SPACE in stretches[n] or int(t.b_size[b[n]].sum()) != len(r) or int(t.a_size[a[n]].sum()) != len(r):
-                self.ok[n] = False
-                a[n] = b[n] = np.zeros(0, np.int64)
-            elif not stretches[n].isascii() and (b"".join(map(t.b.raw.__getitem__, b[n])) != r or b"".join(map(t.a_raw.__getitem__, a[n])) != r):
-                self.ok[n] = False
-                a[n] = b[n] = np.zeros(0, np.int64)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-        size = np.array([len(r) if ok else 0 for r, ok in zip(raw, self.ok)], np.int64)
-        a, b = (np.concatenate([*ids, np.zeros(0, np.int64)]) for ids in (a, b))
+        a, b = t.all_a_ids(whole), [t.b_ids(s) for s in whole]
+        size = np.array([len(r) for r in raw], np.int64)
+        self.ok = np.array([covers(t.a_raw, x, r) and covers(t.b.raw, y, r) for x, y, r in zip(a, b, raw)], bool) if (
+            not covers(t.a_raw, b"".join(a), b"".join(raw)) or not covers(t.b.raw, b"".join(b), b"".join(raw))
+            or (_sums(t.a_size, a) != size).any() or (_sums(t.b_size, b) != size).any()) else np.ones(len(raw), bool)
+        if not self.ok.all():
+            a, b = ([x if ok else b"" for x, ok in zip(ids, self.ok)] for ids in (a, b))
+        size = np.where(self.ok, size, 0)
+        n_a, n_b = (np.array(list(map(len, ids)), np.int64) // 4 for ids in (a, b))
+        a, b = (np.frombuffer(b"".join(ids), np.int32).astype(np.int64) for ids in (a, b))
         a_end, b_end = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
         ends = np.union1d(a_end, b_end)
         common = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -145,8 +177,8 @@ class Block:
         new = [s for s in dict.fromkeys(s for own in stretches for s in own) if s not in self.place]
         for n, s in enumerate(new, len(self.place)):
             self.place[s] = n
-        if new:
-            self.parts.append(Aligned(self.t, new))
+        for at in range(0, len(new), ALIGNED):
+            self.parts.append(Aligned(self.t, new[at:at + ALIGNED]))
         for doc_id, own in zip(ids, stretches):
             self.docs.append((doc_id, np.fromiter(map(self.place.__getitem__, own), np.int32, len(own))))
             self.words += len(own)
