@@ -249,52 +249,74 @@ def parse_hint(html: Column) -> Column:
     )
 
 
-_LD_SCHEMA = (
-    "array<struct<`@type`:string,`@graph`:string,name:string,jobTitle:string,"
-    "worksFor:string,affiliation:string,email:string,telephone:string>>"
-)
+_VARIANTS = "array<variant>"
 
 
-def _ld_objects(body: Column) -> Column:
-    return F.coalesce(
-        F.from_json(body, _LD_SCHEMA, {"allowSingleQuotes": "false"}),
-        F.array().cast(_LD_SCHEMA),
+def _kind(value: Column) -> Column:
+    """Type of a VARIANT value, an empty text for none."""
+    return F.coalesce(F.schema_of_variant(value), F.lit(""))
+
+
+def _members(value: Column) -> Column:
+    """Items of a JSON list, those of an object's `@graph` list, or the value itself."""
+    graph = F.try_variant_get(value, '$["@graph"]', "variant")
+    return (
+        F.when(_kind(value).startswith("ARRAY"), F.try_variant_get(value, "$", _VARIANTS))
+        .when(_kind(graph).startswith("ARRAY"), F.try_variant_get(graph, "$", _VARIANTS))
+        .otherwise(F.array(value))
     )
 
 
+def ld_objects(body: Column) -> Column:
+    """array<variant> of the objects of a JSON-LD text, in their order: lists and `@graph` lists are followed into
+    one another to any depth. Text that is no JSON has none."""
+    parsed = F.try_parse_json(body)
+    # each step opens one level; no text has more levels than opening brackets
+    levels = F.sequence(F.lit(1), F.length(body) - F.length(F.replace(body, F.lit("["))) + 1)
+
+    def step(seen: Column, _: Column) -> Column:
+        nested = F.exists(seen, lambda v: _kind(v).startswith("ARRAY") | _kind(F.try_variant_get(v, '$["@graph"]', "variant")).startswith("ARRAY"))
+        return F.when(nested, F.flatten(F.transform(seen, _members)).cast(_VARIANTS)).otherwise(seen)
+
+    found = F.aggregate(levels, F.array(parsed).cast(_VARIANTS), step)
+    return F.when(parsed.isNull(), F.array().cast(_VARIANTS)).otherwise(F.filter(found, lambda v: _kind(v).startswith("OBJECT")))
+
+
+def _ld_text(value: Column, path: str) -> Column:
+    """A text that is one in the JSON, not a number or a flag."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(_kind(found) == "STRING", blank_to_null(F.try_variant_get(found, "$", "string")))
+
+
+def _ld_filled(value: Column, path: str) -> Column:
+    """The value at a path, null when it is missing or empty."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(~F.coalesce(F.to_json(found), F.lit("null")).isin("null", '""', "{}", "[]", "0", "false"), found)
+
+
 def jsonld_person(html: Column) -> Column:
-    """First JSON-LD Person: root object, root list, or `@graph` list; bad JSON is skipped."""
+    """First JSON-LD Person of a page, wherever lists and `@graph` lists hold it; bad JSON is skipped."""
     bodies = F.regexp_extract_all(html, F.lit(_JSONLD), F.lit(1))
-    roots = F.flatten(F.transform(bodies, _ld_objects))
-    objects = F.flatten(
-        F.transform(
-            roots,
-            lambda o: F.when(o["@graph"].startswith("["), _ld_objects(o["@graph"])).otherwise(
-                F.array(o)
-            ),
+    objects = F.flatten(F.transform(bodies, ld_objects))
+
+    def is_person(value: Column) -> Column:
+        types = F.try_variant_get(value, '$["@type"]', "variant")
+        return (_ld_text(value, '$["@type"]') == "Person") | (
+            _kind(types).startswith("ARRAY") & F.exists(
+                F.try_variant_get(types, "$", _VARIANTS), lambda v: _ld_text(v, "$") == "Person"))
+
+    def fields(person: Column) -> Column:
+        employer = F.coalesce(_ld_filled(person, "$.worksFor"), _ld_filled(person, "$.affiliation"))
+        return F.struct(
+            _ld_text(person, "$.name").alias("name"),
+            _ld_text(person, "$.jobTitle").alias("title"),
+            F.coalesce(_ld_text(employer, "$.name"), _ld_text(employer, "$")).alias("department"),
+            blank_to_null(F.regexp_replace(_ld_text(person, "$.email"), "(?i)^mailto:", "")).alias("email"),
+            _ld_text(person, "$.telephone").alias("phone"),
         )
-    )
-    people = F.filter(
-        objects,
-        lambda o: (o["@type"] == "Person")
-        | (
-            o["@type"].startswith("[")
-            & F.array_contains(F.from_json(o["@type"], "array<string>"), "Person")
-        ),
-    )
-    person = F.get(people, F.lit(0))
-    employer = F.coalesce(blank_to_null(person["worksFor"]), person["affiliation"])
-    return F.struct(
-        blank_to_null(person["name"]).alias("name"),
-        blank_to_null(person["jobTitle"]).alias("title"),
-        blank_to_null(
-            F.when(employer.startswith("{"), F.get_json_object(employer, "$.name")).otherwise(
-                employer
-            )
-        ).alias("department"),
-        blank_to_null(F.regexp_replace(person["email"], "(?i)^mailto:", "")).alias("email"),
-        blank_to_null(person["telephone"]).alias("phone"),
-    )
+
+    people = F.filter(objects, lambda v: F.coalesce(is_person(v), F.lit(False)))
+    return fields(F.get(people, F.lit(0)))
 
 
 def grounded_email(value: Column, text: Column, hint: Column) -> Column:

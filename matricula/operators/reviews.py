@@ -45,7 +45,8 @@ def default_review(ranked: DataFrame, iteration: int, k: int = 5) -> DataFrame:
 
     lists = top_lists(ranked, k)
     note = lambda r: F.format_string(
-        "Strong on %s (score %.2f).", strongest(r), r["score"]
+        # format_number rounds the exact binary value, as a reader of the score would expect
+        "Strong on %s (score %s).", strongest(r), F.format_number(r["score"], 2)
     )
     return lists.select(
         "profile_id",
@@ -167,6 +168,7 @@ def feedback_loop(
     review = review or (lambda ranked, i: default_review(ranked, i, k))
     depth = max(depth or k, k)
     packed = ranking.pack_catalog(catalog)
+    profiles = cut_lineage(profiles)  # what they derive from activities is computed once, not every round
     active = profiles.select(
         "profile_id",
         F.create_map().cast("map<string,double>").alias("feedback"),

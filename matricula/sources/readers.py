@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from matricula import fixed_values as V
@@ -29,12 +31,16 @@ def _require_root(spark: SparkSession, path: str, bracket: str, kind: str) -> No
 def read_scorecard(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Federal CSV, every cell text, used columns only (the scan prunes the rest).
 
-    `seq` follows file and row order, so "first row wins" is defined.
+    `seq` orders rows by file name, then place in the file, however Spark packs splits into tasks, so
+    "first row wins" is defined.
     """
     raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
     have = set(raw.columns)
     cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in V.SCORECARD_COLUMNS]
-    return raw.select(*cols, F.monotonically_increasing_id().alias("seq"))
+    # inside one split (file and block) the row ids of its task ascend
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return raw.select(*cols, place.alias("seq"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -65,8 +71,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_lines_tolerant(
     spark: SparkSession, path: str, schema: str, rules: Mapping[str, Column] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(good rows, one-row count of malformed ones). Broken rules count as malformed."""
+) -> tuple[DataFrame, Observation]:
+    """(good rows, observation of `good` and `malformed`). Broken rules count as malformed.
+
+    The counts come with the first action on the good rows, such as their write, and need no scan of their own."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     parsed = F.from_json(
         "value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
@@ -74,13 +82,14 @@ def read_json_lines_tolerant(
     raw = lines.select(parsed.alias("r")).select("r.*")
     checked = with_violations(raw, rules) if rules else raw.withColumn("violations", F.array())
     ok = F.col("_corrupt").isNull() & (F.size("violations") == 0)
-    good = checked.filter(ok).drop("_corrupt", "violations")
-    return good, checked.agg(F.count_if(~ok).alias("malformed"))
+    seen = Observation()
+    counted = checked.observe(seen, F.count_if(ok).alias("good"), F.count_if(~ok).alias("malformed"))
+    return counted.filter(ok).drop("_corrupt", "violations"), seen
 
 
 def read_editorial_js(spark: SparkSession, path: str) -> DataFrame:
     """Records `{n:"...", v:{...}}` out of JavaScript files, in file-name then text order."""
-    record = r'\{n:"(?:[^{}]|\{[^{}]*\})*\}'
+    record = r'\{n:"(?:[^{}]++|\{[^{}]*+\})*+\}'  # possessive: no frame a character, however long a record is
     files = spark.read.option("wholetext", True).text(path).select(
         "value", F.col("_metadata.file_name").alias("file")
     )
@@ -161,6 +170,6 @@ def catalog_or_seed(load: Callable[[], DataFrame], seed: DataFrame) -> tuple[Dat
         catalog = load()
         if not catalog.isEmpty():
             return catalog, False
-    except Exception:  # noqa: BLE001 - any failed load means the seed is served
+    except (PySparkException, Py4JError, OSError):  # the source is not there or cannot be read
         pass
     return seed, True

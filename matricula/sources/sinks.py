@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,32 +28,68 @@ def list_catalog(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy("id")
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
-    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(pattern)
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """Latest committed snapshot; a half-written one has no success marker and is ignored."""
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    pattern, fs = _path(spark, f"{root}/_manifests/v*")
+    return sorted(int(f.getPath().getName()[1:]) for f in fs.globStatus(pattern) or [])
+
+
+def _commit(spark: SparkSession, root: str, version: int, folder: str) -> bool:
+    """Create the manifest of a version, which names its folder; False if another publisher has."""
+    target = f"{root}/_manifests/v{version:08d}"
+    (made, fs), (final, _) = _path(spark, f"{root}/_manifests/.{folder}"), _path(spark, target)
+    out = fs.create(made, True)
+    out.write(folder.encode())
+    out.close()
+    local = urlparse(final.toUri().toString())
+    if fs.getScheme() == "file":  # a rename would replace a file that is there; a link does not
+        try:
+            os.link(made.toUri().getPath(), unquote(local.path))
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(made, False)
+        return True
+    if fs.rename(made, final):
+        return True
+    fs.delete(made, False)
+    return False
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """The latest committed snapshot, or that of a version. What no manifest names, such as a half-written folder, is ignored."""
     versions = _versions(spark, root)
-    return spark.read.parquet(f"{root}/version={versions[-1]}") if versions else None
+    if not versions:
+        return None
+    at = versions[-1] if version is None else version
+    folder = spark.read.text(f"{root}/_manifests/v{at:08d}").first()[0]
+    return spark.read.parquet(f"{root}/{folder}")
 
 
-def publish_snapshot(catalog: DataFrame, root: str, prune: bool = True) -> int:
+def publish_snapshot(catalog: DataFrame, root: str, prune: bool = True, tries: int = 10) -> int:
     """Write the next snapshot: upsert by id, rows gone from the catalog pruned.
 
-    Pruning refuses a catalog that looks too small to trust. Readers switch over
-    when the success marker appears, so a failed write changes nothing.
+    Pruning refuses a catalog that looks too small to trust. A publisher writes a folder of its own and commits it as
+    the version after the one it read, by a manifest that only one can create. Who comes second merges again with
+    the version that came between, so no snapshot is lost or overwritten, and a failed write changes nothing.
     """
     spark = catalog.sparkSession
-    versions = _versions(spark, root)
-    current = read_snapshot(spark, root)
-    rows = catalog if current is None else C.upsert(current, catalog, prune)
-    version = (versions[-1] if versions else 0) + 1
-    rows.write.mode("overwrite").parquet(f"{root}/version={version}")
-    return version
+    for _ in range(tries):
+        versions = _versions(spark, root)
+        last = versions[-1] if versions else 0
+        current = read_snapshot(spark, root, last) if last else None
+        rows = catalog if current is None else C.upsert(current, catalog, prune)
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{root}/{folder}")
+        if _commit(spark, root, last + 1, folder):
+            return last + 1
+        data, fs = _path(spark, f"{root}/{folder}")
+        fs.delete(data, True)
+    raise RuntimeError(f"{root}: another publisher came first {tries} times")
 
 
 def append_recommendations(results: DataFrame, runs: DataFrame, path: str) -> None:

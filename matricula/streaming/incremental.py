@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from matricula import schemas
 from matricula.operators import faculty as Y
 from matricula.operators import ranking
+from matricula.session import cut_lineage
 from matricula.streaming.attempts import FAILED, admitted, rocksdb_state
 
 
@@ -82,13 +83,18 @@ def retry_failed(spark: SparkSession, fresh: DataFrame, pages: str, out: str, ch
 
 
 def rank_stream(
-    requests: DataFrame, catalog: DataFrame, out: str, checkpoint: str, k: int = 5
+    requests: DataFrame, catalog: DataFrame, out: str, checkpoint: str, k: int = 5, activities: DataFrame | None = None
 ) -> StreamingQuery:
-    """Streamed profile requests against the static catalog, top-k per request appended."""
+    """Streamed profile requests against the static catalog, top-k per request appended.
+
+    activities(profile_id, text) are matched with their patterns once, before the stream starts."""
 
     packed = ranking.pack_catalog(catalog)
+    masks = None if activities is None else cut_lineage(ranking.activity_masks(activities))
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        if masks is not None:
+            batch = batch.join(masks, "profile_id", "left")
         _write_batch(ranking.rank_top_k(batch, catalog, k, packed=packed), out, str(batch_id))
 
     return (

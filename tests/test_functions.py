@@ -1,5 +1,7 @@
 """Text, URL, HTML and nested expressions on edge rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +271,25 @@ def test_character_references_and_nested_noise(one):
     pages = ["<body>a<header>b<nav>c</nav>d</header>e</body>", "<body>a<nav>b<nav>c</nav>d</nav>e</body>", "<body>a<footer>never closed <b>x</b></body>",
              "<body>a</nav>b<svg/>c<script>if (a < b) '<nav>'</script>d</body>", "<body>x<style>y</body>"]
     assert list(one(*(H.visible_text(L(p)) for p in pages))) == ["a e", "a e", "a", "a b c d", "x"]
+
+
+_ANN = {"@type": "Person", "name": " Ann ", "jobTitle": "Prof", "worksFor": {"name": "Physics"}, "email": "MAILTO:a@x.edu", "telephone": "1"}
+_FOUND = ("Ann", "Prof", "Physics", "a@x.edu", "1")
+
+
+@pytest.mark.parametrize("scripts,expected", [
+    ([_ANN], _FOUND),
+    (["{bad", [[{"@graph": [{"@type": "Org"}, [{"@graph": [_ANN]}]]}]]], _FOUND),
+    (["[" * 30 + json.dumps(_ANN) + "]" * 30], _FOUND),
+    ([{"@graph": [{"@type": "Org"}]}, {"@graph": [{"@graph": []}, _ANN]}], _FOUND),
+    ([[{"@type": "Person", "name": "First"}, _ANN]], ("First", None, None, None, None)),
+    ([{"@graph": {"@type": "Person"}, "@type": ["X", "Person"], "name": 5, "affiliation": "Dept "}], (None, None, "Dept", None, None)),
+    ([{"@type": "Person", "name": "B", "worksFor": "", "affiliation": {"name": "Chem"}}], ("B", None, "Chem", None, None)),
+    ([{"@type": "Person", "name": "C", "worksFor": [{"name": "Q"}], "affiliation": "z"}], ("C", None, None, None, None)),
+    ([{"mainEntity": _ANN}], (None,) * 5),
+    (["7", '"Person"', "null", "", "[[]]"], (None,) * 5),
+])
+def test_nested_jsonld(one, scripts, expected):
+    page = "".join(f'<script type="application/ld+json">{x if isinstance(x, str) else json.dumps(x)}</script>' for x in scripts)
+    (person,) = one(H.jsonld_person(L(page)))
+    assert tuple(person) == expected

@@ -51,9 +51,10 @@ LINES = '{"school_id":"s","professor_name":"A","profile_url":"u","extraction_con
 def test_json_lines(spark, tmp_path):
     p = put(tmp_path / "p.jsonl", LINES)
     good, bad = R.read_json_lines_tolerant(spark, p, schemas.PROFESSOR, validation.professor_rules())
-    assert [r["professor_name"] for r in good.collect()] == ["A"] and bad.first()[0] == 2
+    assert str(good._jdf.queryExecution().optimizedPlan()).count("Relation [") == 1
+    assert [r["professor_name"] for r in good.collect()] == ["A"] and bad.get == {"good": 1, "malformed": 2}
     unruled, bad = R.read_json_lines_tolerant(spark, p, schemas.PROFESSOR)
-    assert unruled.count() == 2 and bad.first()[0] == 1
+    assert unruled.count() == 2 and bad.get == {"good": 2, "malformed": 1}
     with pytest.raises(Exception):
         R.read_json_lines(spark, p, schemas.PROFESSOR).collect()
     assert R.read_json_lines(spark, put(tmp_path / "q.jsonl", LINES.split("\n")[0] + "\n\n"), schemas.PROFESSOR).count() == 1
@@ -68,6 +69,31 @@ def test_editorial_js(spark, tmp_path):
     assert a["culture"]["collab"] == 0.7 and a["culture"]["research"] is None and b["country"] is None and b["majors"] == []
 
 
+def test_long_editorial_record(spark, tmp_path):
+    name, majors = "N" * 100_000, ",".join(f'"m{i}"' for i in range(30_000))
+    put(tmp_path / "data.js", f'x=[{{n:"{name}",strengths:[{majors}],v:{{collab:.7}}}},{{n:"Next",gpa:3}}];')
+    first, second = R.read_editorial_js(spark, str(tmp_path / "data.js")).orderBy("seq").collect()
+    assert first["name"] == name and len(first["majors"]) == 30_000 and first["culture"]["collab"] == 0.7
+    assert second["name"] == "Next" and second["avg_gpa"] == 3
+
+
+def test_scorecard_order_follows_files_and_lines(spark, tmp_path):
+    from matricula.operators.common import first_per_key
+
+    head = "UNITID,INSTNM\n"
+    put(tmp_path / "s" / "a.csv", head + "".join(f"a{i},Same\n" for i in range(5)))
+    put(tmp_path / "s" / "b.csv", head + "".join(f"b{i},Same\n" for i in range(20_000)))  # larger, so Spark packs it first
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = R.read_scorecard(spark, str(tmp_path / "s"))
+        assert rows.rdd.getNumPartitions() > 2
+        assert [r["UNITID"] for r in first_per_key(rows, ["INSTNM"], [rows["seq"]]).collect()] == ["a0"]
+        assert [r["UNITID"] for r in rows.orderBy("seq").select("UNITID").collect()] == [f"a{i}" for i in range(5)] + [f"b{i}" for i in range(20_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_research_batches(spark, tmp_path):
     put(tmp_path / "batch-02.json", json.dumps({"s": {"faculty": "F2", "src": "https://one"}}))
     put(tmp_path / "batch-01.json", json.dumps({"s": {"research": "R1", "src": ["https://a", "ftp://b"], "_retrieved": "2020"}}))
@@ -83,7 +109,7 @@ def test_relational_catalog_columns(spark):
 
 def test_seed_serves_failed_and_empty_loads(spark):
     seed = spark.range(2)
-    boom = lambda: (_ for _ in ()).throw(RuntimeError("down"))
+    boom = lambda: spark.read.parquet("/nowhere/at/all")
     assert [R.catalog_or_seed(f, seed)[1] for f in (boom, lambda: spark.range(0), lambda: spark.range(1))] == [True, True, False]
 
 
@@ -108,8 +134,35 @@ def test_snapshots(spark, tmp_path):
     assert S.publish_snapshot(second, root, prune=False) == 2
     now = S.read_snapshot(spark, root)
     assert now.count() == 230 and now.filter("v = 'b'").count() == 130
-    (tmp_path / "snap" / "version=3").mkdir()
-    assert S.read_snapshot(spark, root).count() == 230, "an unfinished version is ignored"
+    (tmp_path / "snap" / "data-unfinished").mkdir()
+    assert S.read_snapshot(spark, root).count() == 230, "a folder that no manifest names is ignored"
+    assert S.read_snapshot(spark, root, version=1).filter("v = 'a'").count() == 120
+
+
+def test_two_publishers_lose_nothing(spark, tmp_path, monkeypatch):
+    """The second commits between the first's read and its commit; the first merges again."""
+    root = str(tmp_path / "snap")
+    rows = lambda a, b, v: spark.createDataFrame([(str(i), v) for i in range(a, b)], "id string, v string")
+    S.publish_snapshot(rows(0, 10, "base"), root)
+    commit, raced = S._commit, []
+
+    def late(*args):
+        if not raced:
+            raced.append(True)
+            assert S.publish_snapshot(rows(10, 20, "second"), root, prune=False) == 2
+        return commit(*args)
+
+    monkeypatch.setattr(S, "_commit", late)
+    assert S.publish_snapshot(rows(5, 15, "first"), root, prune=False) == 3
+    count = lambda n: {r["v"]: r["count"] for r in S.read_snapshot(spark, root, n).groupBy("v").count().collect()}
+    assert count(2) == {"base": 10, "second": 10} and count(3) == {"base": 5, "first": 10, "second": 5}
+    assert len(list((tmp_path / "snap").glob("data-*"))) == 3 and not list((tmp_path / "snap" / "_manifests").glob(".data*"))
+
+
+def test_only_one_commit_of_a_version_wins(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    assert S._commit(spark, root, 1, "data-a") and not S._commit(spark, root, 1, "data-b")
+    assert (tmp_path / "snap" / "_manifests" / "v00000001").read_text() == "data-a"
 
 
 def test_recommendation_log(spark, tmp_path):

@@ -201,6 +201,32 @@ def deterministic_extraction(t):
     return out.select("page_id", "school_name", "outcome", "professor_name", "department", "email", "phone")
 
 
+@query(
+    "nested_jsonld",
+    "T23",
+    """select c_custkey, case when c_custkey % 6 = 5 then null else c_name end "name", case when c_custkey % 6 < 4 then c_mktsegment end department,
+      case when c_custkey % 6 = 3 then null when c_custkey % 6 < 5 then 'p' || c_custkey || '@x.edu' end email from {customer}""",
+)
+def nested_jsonld(t):
+    """People inside lists and `@graph` lists of one another, behind broken JSON, after other objects, and none."""
+    k = F.col("c_custkey")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    mail = F.when(k % 6 == 3, F.lit("17")).otherwise(F.concat(F.lit('"mailto:p'), k.cast("string"), F.lit('@x.edu"')))
+    place = F.when(k % 6 < 4, F.concat(F.lit('{"name":'), text(F.col("c_mktsegment")), F.lit("}"))).otherwise("[]")
+    person = F.concat(F.lit('{"@type":["Thing","Person"],"name":'), text(F.col("c_name")), F.lit(',"worksFor":'), place, F.lit(',"email":'), mail, F.lit("}"))
+    body = (
+        F.when(k % 6 == 0, person)
+        .when(k % 6 == 1, F.concat(F.lit('[[{"@type":"Org"},['), person, F.lit("]]]")))
+        .when(k % 6 == 2, F.concat(F.lit('{"@graph":[{"@graph":[[{"@graph":[{"@type":"WebPage"},'), person, F.lit("]}]]}]}")))
+        .when(k % 6 == 3, F.concat(F.lit('{"@graph":[]}</script><script type="application/ld+json">{broken</script><script type="application/ld+json">['), person, F.lit("]")))
+        .when(k % 6 == 4, F.concat(F.lit('{"@graph":{"@type":"Person"},"@type":"Org"}</script><script type="application/ld+json">'), person))
+        .otherwise(F.concat(F.lit('{"mainEntity":'), person, F.lit("}")))
+    )
+    page = F.concat(F.lit('<html><head><script type="application/ld+json">'), body, F.lit("</script></head></html>"))
+    found = t["customer"].select(k, H.jsonld_person(page).alias("p"))
+    return found.select("c_custkey", "p.name", "p.department", "p.email")
+
+
 @query(
     "extraction_summary",
     "A17",

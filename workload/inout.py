@@ -56,18 +56,17 @@ def json_lines_tolerant(t):
     line = F.to_json(F.struct(*shifted.columns))
     cut = F.when(F.col("title").isNull(), F.substring_index(line, ",", 2)).otherwise(line)
     shifted.select(cut.alias("value")).write.text(path)
-    good, bad = readers.read_json_lines_tolerant(
+    good, seen = readers.read_json_lines_tolerant(
         t.spark, path, schemas.PROFESSOR, validation.professor_rules()
     )
-    counted = good.agg(F.count(F.lit(1)).alias("good")).withColumn("k", F.lit("good"))
-    both = counted.select("k", F.col("good").alias("n")).unionByName(
-        bad.select(F.lit("malformed").alias("k"), F.col("malformed").alias("n"))
-    )
-    return both.groupBy().pivot("k", ["good", "malformed"]).agg(F.sum("n"))
+    good.write.parquet(f"{path}-good")
+    kept = t.spark.read.parquet(f"{path}-good")
+    return kept.agg(F.count(F.lit(1)).alias("good")).withColumn("malformed", F.lit(seen.get["malformed"]))
 
 
-def _documents(rows, root, text, parts=16):
-    """One JSON document per file, `parts` files: `text` folds a file's rows to its document."""
+def _documents(rows, root, text, each=1000):
+    """One JSON document per file, about `each` rows in a file: `text` folds a file's rows to its document."""
+    parts = 2 + rows.count() // each
     rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).alias("file")).agg(text.alias("value")).write.partitionBy("file").text(root)
 
 
@@ -264,14 +263,12 @@ def retried_extraction(t):
 @query(
     "streamed_ranking",
     "R4",
-    "with "
-    + scored_ctes().replace("from {v_activities}", "from (select * from {v_activities} where false)")
-    + " select profile_id, rank, id, score from ranked where rank <= 5",
+    "with " + scored_ctes() + " select profile_id, rank, id, score from ranked where rank <= 5",
 )
 def streamed_ranking(t):
     base = scratch_path(t.spark, "requests")
     profiles = t["v_profiles"]
     profiles.write.parquet(f"{base}/in")
     requests = t.spark.readStream.schema(profiles.schema).parquet(f"{base}/in")
-    incremental.rank_stream(requests, t["v_catalog"], f"{base}/out", f"{base}/ck").awaitTermination()
+    incremental.rank_stream(requests, t["v_catalog"], f"{base}/out", f"{base}/ck", activities=t["v_activities"]).awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select("profile_id", "rank", "id", "score")

@@ -230,14 +230,13 @@ _ARGMAX = "case " + " ".join(
     "feedback_loop_default",
     "I1 J14 M14 W7 E2",
     "with " + scored_ctes() + f"""
-    select r.profile_id, cast(rank as int) "position", r.id, c.name, score, 'Strong on ' || {_ARGMAX} reason
+    select r.profile_id, cast(rank as int) "position", r.id, c.name, score, 'Strong on ' || {_ARGMAX} || printf(' (score %.2f).', score) rationale
     from ranked r join {{v_catalog}} c on r.id = c.id where rank <= 5""",
 )
 def feedback_loop_default(t):
     _, results = reviews.feedback_loop(ranked_profiles(t), t["v_catalog"])
     return results.select(
-        "profile_id", F.col("position").cast("int").alias("position"), "id", "name", "score",
-        F.substring_index("rationale", " (score", 1).alias("reason"),
+        "profile_id", F.col("position").cast("int").alias("position"), "id", "name", "score", "rationale",
     )
 
 
@@ -274,6 +273,39 @@ def feedback_loop_trace(t):
     return trace.withColumn("top_ids", F.array_join("top_ids", ","))
 
 
+def stopping_review(k=5):
+    """Never agrees. A third is sure of itself, a third asks for nothing, a third for other weights."""
+
+    def review(ranked, iteration):
+        third = F.col("profile_id") % 3
+        weights = F.create_map(F.lit("academic"), F.lit("0.6"), F.lit("cost"), F.lit("7"))
+        return reviews.default_review(ranked, iteration, k).select(
+            "profile_id",
+            F.reverse("keep_ids").alias("keep_ids"),
+            F.when(third == 0, "0.95").otherwise("0.5").alias("confidence"),
+            F.when(third == 2, weights).otherwise(F.create_map().cast("map<string,string>")).alias("weight_feedback"),
+            "notes",
+        )
+
+    return review
+
+
+@query(
+    "feedback_loop_stops",
+    "I1 R5 W7 E2",
+    "with " + scored_ctes() + """,
+    first as (select profile_id, string_agg(id, ',' order by rank) top_ids from ranked where rank <= 5 group by 1),
+    """ + rescored_ctes(_FEEDBACK, "2") + """,
+    second as (select profile_id, string_agg(id, ',' order by rank) top_ids from ranked2 where rank <= 5 group by 1)
+    select profile_id, 0 iteration, top_ids, case when profile_id % 3 = 0 then 0.95e0 else 0.5e0 end confidence, case when profile_id % 3 = 0 then 'R2_confident' end stop_reason from first
+    union all select profile_id, 1, top_ids, 0.5e0, 'R3_no_change' from first where profile_id % 3 = 1
+    union all select profile_id, 1, s.top_ids, 0.5e0, case when s.top_ids = f.top_ids then 'R3_no_change' else 'R4_iteration_cap' end from second s join first f using (profile_id) where profile_id % 3 = 2""",
+)
+def feedback_loop_stops(t):
+    trace, _ = reviews.feedback_loop(ranked_profiles(t), t["v_catalog"], stopping_review(), max_iterations=2)
+    return trace.withColumn("top_ids", F.array_join("top_ids", ","))
+
+
 @query(
     "activity_subjects",
     "J19 T31",
