@@ -96,3 +96,15 @@ def read_random(uri: str):
 def bound_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
     """Rows go to Python workers in batches of at most `limit` bytes, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
+def give_back() -> None:
+    """Hand freed memory of this Python worker back to the system, so that reused workers do not keep their highest use."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

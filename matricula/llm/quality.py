@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matricula.llm.base import bound_batches, crc_fold, register, table, through_table
+from matricula.llm.base import bound_batches, crc_fold, give_back, register, table, through_table
 
 SAMPLE, FOLDS, WINDOW = 20_000, 5, 64
 BROADCAST_SITES = 100_000
@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def measured(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 2 << 20)
     # at most `sample` ids are broadcast, so the texts stay where they are
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -107,8 +107,10 @@ def with_evidence(docs: DataFrame, model: Model, text: str = "text", name: str =
     def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.logits(np.array([features(t) for t in texts])) if len(texts) else [], dtype=float)
+            del texts
+            give_back()
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 2 << 20)
     return docs.withColumn(name, evidence(F.col(text).cast("binary")))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from matricula.llm.base import bound_batches, crc_fold, register, table
+from matricula.llm.base import bound_batches, crc_fold, give_back, register, table
 
 SAMPLE, FOLDS, WINDOWS_PER_DOC = 5000, 5, 8
 CALIBRATION_FOLD, CALIBRATION_WINDOWS = 1, 32  # documents of this fold are not trained on
@@ -317,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     def windows(texts: pd.Series, held: pd.Series) -> pd.Series:
         return pd.Series([sampled_windows(t, CALIBRATION_WINDOWS if h else WINDOWS_PER_DOC) for t, h in zip(texts, held)])
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 2 << 20)
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
         .withColumn("held", crc_fold(F.col("doc_id"), FOLDS) == CALIBRATION_FOLD)
@@ -338,8 +338,10 @@ def with_toxicity(docs: DataFrame, net: Network, text: str = "text", name: str =
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(_sigmoid(score_texts(net, list(texts)).astype(float)) if len(texts) else [], dtype=float)
+            del texts
+            give_back()
 
-    bound_batches(docs.sparkSession, 8 << 20)
+    bound_batches(docs.sparkSession, 2 << 20)
     return docs.withColumn(name, score(F.col(text).cast("binary")))
 
 
