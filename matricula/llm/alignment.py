@@ -10,8 +10,8 @@ pairs, and they are shuffled once for a block of documents, however often they o
 back to the blocks by a join and to the documents of a block by a cogroup; the vector of the identity map, one row an id
 of A at most, goes to all tasks.
 
-Texts are cut before spaces and line feeds that follow a letter, digit or ASCII mark, where neither tokenizer can
-have a token (where it could, texts are not cut). Each distinct stretch of a block is aligned once, all new ones
+Texts are cut before spaces and line feeds that follow a letter, digit or ASCII mark, and between a Latin letter and
+a mark such as a comma: places that no token of either spans (where one could, texts are not cut). Each distinct stretch of a block is aligned once, all new ones
 of a batch at a time: every interval between neighbouring token ends is one link. A block ends at `STRETCHES` distinct or
 `WORDS` stretches in all, so a task holds a bounded part; a longer document is a block of its own.
 
@@ -48,7 +48,7 @@ SCHEMA = ("kind int, block long, doc_id long, n_a long, n_b long, n_groups long,
           "body binary, a int, b int, n long")
 _ARROW = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]])
                     for c in SCHEMA.split(", ")])
-_CUT = re.compile(r"(?<=[!-~\w])(?=[ \n])")
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?"
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
 
 
@@ -82,7 +82,11 @@ class Tokenizers:
         with open(a_path, encoding="utf-8") as f:
             step = json.load(f)["pre_tokenizer"]
         cuts_words = step["type"] == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
-        self.cut = cuts_words and self.b.splits_words and not any(y == "\n" for _, y in self.b.together)
+        self.cut = None
+        if cuts_words and self.b.splits_words and not any(y == "\n" for _, y in self.b.together):
+            inside = {y for x, y in self.b.together if re.match(f"[{LETTERS}]", x)}
+            marks = "".join(m for m in MARKS if m not in inside)
+            self.cut = re.compile(r"(?<=[!-~\w])(?=[ \n])" + (f"|(?<=[{LETTERS}])(?=[{marks}])" if marks else ""))
         self.a_ids = TwoGenerations(self._a_ids, CACHED // 2)
 
     def _a_ids(self, stretch: str) -> bytes:
@@ -110,7 +114,7 @@ class Tokenizers:
         if not text:
             return []
         whole = " " + text.decode("utf-8", "surrogateescape")
-        return _CUT.split(whole) if self.cut else [whole]
+        return self.cut.split(whole) if self.cut else [whole]
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:

@@ -67,7 +67,7 @@ TEXTS = [
     (1, "The first words, and the second words."), (2, None), (3, ""), (4, " "), (5, "a▁b"), (6, "a▁"), (7, "  two  spaces \n\n and\tlines\n"),
     (8, "Über naïve café — 漢字かな交じり文 \U0001F600\U0001F600"), (9, "<|endoftext|> and <s> </s> <0x0A>"), (None, "The first words, and the second words."),
     (1, "The first words, and the second words."), (11, "x" * 5000), (12, "\x00\x01 　 x  y"), (13, "they're he'll it's 12345 $$$ === ==="),
-    (14, "ﬁ ﷺ İstanbul"), (15, "a\n b\n\nc \n d"), (16, "==" * 40 + " " + "aa" * 33),
+    (14, "ﬁ ﷺ İstanbul"), (17, "a,b c., d.e... f;;g h!? é, ÿ. 1,2 x,\ny .z it's, don't. A.B.C."), (15, "a\n b\n\nc \n d"), (16, "==" * 40 + " " + "aa" * 33),
 ]
 
 
