@@ -25,6 +25,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,7 +217,9 @@ def with_decoded(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     @F.arrow_udf("string")
     def text_of(ids: pa.Array) -> pa.Array:
         decode = piece_model(model).decode
-        return pa.array([decode(i or []) for i in ids.to_pylist()], pa.string())
+        flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()  # all lists at once: one by one they are slow to read
+        ends = np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        return pa.array([decode(flat[i:j]) for i, j in zip([0, *ends], ends)], pa.string())
 
     bound_batches(encoded.sparkSession, 8 << 20)
     return encoded.withColumn("decoded", text_of(F.col(ids)))

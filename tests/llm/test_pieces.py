@@ -71,6 +71,8 @@ def test_frames(spark):
         ids = LIBRARY.encode(r.text or "")
         assert list(r.ids) == ids and r.decoded == LIBRARY.decode(ids)
     assert with_decoded(with_ids(docs.limit(0), model_path()), model_path()).count() == 0
+    lists = spark.createDataFrame([(LIBRARY.encode("a b"),), (None,), ([],), (LIBRARY.encode("c"),)], "ids array<int>")
+    assert [r.decoded for r in with_decoded(lists, model_path()).collect()] == ["a b", "", "", "c"]
     bad = spark.createDataFrame([(bytearray(b"a\xffb"),)], "text binary")
     assert with_ids(bad, model_path()).first().ids == LIBRARY.encode("a�b")
 
