@@ -190,7 +190,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 write_file(f"{name}.idx", attempt, (line.encode() for line in index))
                 yield _strings([(f"{name}.idx",)], ["sidecar"])
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, "sidecar string")
+    # a task an archive: with a number, adaptive execution leaves the small rows that name them apart
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(run, "sidecar string")
 
 
 def _page(name: str | None) -> int | None:
@@ -228,13 +229,19 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         spark.read.schema("offset long, length long, type string, record string").option("sep", "\t").option("quote", "").csv(f"{folder}/*.idx")
         .select(F.regexp_replace("_metadata.file_path", r"\.idx$", "").alias("archive"), "offset", "length")
     )
+    lines = lines.withColumn("split", F.floor(F.col("offset") / SPLIT_BYTES))
+    splits = lines.groupBy("archive").agg(F.max("split").alias("last")).agg(F.sum(F.col("last") + 1)).first()[0] or 1
     return (
-        lines.repartition("archive", F.floor(F.col("offset") / SPLIT_BYTES)).sortWithinPartitions("archive", "offset")
+        lines.repartition(int(splits), "archive", "split").drop("split").sortWithinPartitions("archive", "offset")
         .mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     )
 
 
-@register("op6_warc")
+@register("op6_warc", """with p as (select page_id, encode(coalesce(html, '')) payload from pages),
+    d as (select page_id, octet_length(payload)::bigint payload_bytes, sha1(payload) payload_digest from p),
+    k as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end keeper from d)
+    select page_id, payload_bytes, payload_digest, case when keeper <> page_id then 'revisit' else 'response' end record_type,
+      case when keeper <> page_id then keeper end refers_to from k""")
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     whole, single = shared_folder(spark, "warc-whole"), shared_folder(spark, "warc")
