@@ -94,7 +94,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     salted = hits.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
     exact_keys = listed.select("key", "verdict", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     exact = salted.join(exact_keys.hint("shuffle_hash"), ["key", "salt"])
-    # the longest key wins; two keys of one length differ in the host part, and the longer host wins
+    # the longest key wins; of two keys of one length that without a path, else that of the shorter host
     rank = F.struct(F.length("key"), -F.instr("key", "/"), F.col("key"), F.col("verdict"))
     best = exact.groupBy("host", "path").agg(F.max(rank).alias("best")).select(
         "host", "path", F.col("best.key").alias("rule"), F.col("best.verdict").alias("verdict"))
