@@ -145,9 +145,10 @@ MERGEABLE_SECTIONS = ("faculty", "research")
 # ------------------------------------------------------------ school filter --
 US_COUNTRY_VALUES = ("USA", "US", "UNITED STATES", "UNITED STATES OF AMERICA")
 US_STATES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT "
-    "NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC"
-).split()
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME",
+    "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA",
+    "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC",
+)
 CITY_STATE_PATTERN = r"^(.*),\s*([A-Za-z]{2})\s*$"
 COMPOUND_SUFFIXES = (
     "ac.uk", "ac.jp", "ac.nz", "ac.za", "ac.kr", "ac.in", "edu.au", "edu.cn",

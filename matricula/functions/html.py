@@ -19,13 +19,19 @@ from matricula import fixed_values as V
 from matricula.functions.text import blank_to_null, collapse
 
 _COMMENT = r"(?s)<!--.*?-->"
-_HEAD = r"(?is)<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>"
-_HEADING = r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>"
-_ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a\s*>"
+#: The inside of a tag: quoted values may hold `>`; possessive, so a tag is read once. A tag with an odd quote ends at its first `>`.
+_QUOTED = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
+_TAG = rf"(?s)<(?:{_QUOTED}|[^>]*+)>"
+_HEAD = rf"(?is)<head\b{_QUOTED}>.*?</head\s*>|<title\b{_QUOTED}>.*?</title\s*>"
+_HEADING = rf"(?is)<h[1-6]\b{_QUOTED}>(.*?)</h[1-6]\s*>"
+#: A link ends at its end tag, at the next link or with the page.
+_ANCHOR = rf"(?is)<a\s({_QUOTED}|[^>]*+)>(.*?)(?:</a\s*>|(?=<a\s)|\z)"
 _RAW_TEXT = ("script", "style")
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
 #: Names of the HTML standard, without their semicolon.
 _NAMED = {name[:-1]: value for name, value in entities.html5.items() if name.endswith(";")}
+#: Looked up before all others.
+_COMMON = {name: _NAMED[name] for name in ("amp", "lt", "gt", "quot", "apos", "nbsp")}
 #: Numbers that stand for Windows-1252 bytes.
 _WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
@@ -51,10 +57,10 @@ def _drop_blocks(html: Column, tags: tuple[str, ...]) -> Column:
     """
     raw, nested = [t for t in tags if t in _RAW_TEXT], [t for t in tags if t not in _RAW_TEXT]
     if raw:
-        html = F.regexp_replace(html, rf"(?is)<({'|'.join(raw)})\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+        html = F.regexp_replace(html, rf"(?is)<({'|'.join(raw)})\b{_QUOTED}>.*?(?:</\1\s*>|\z)", " ")
     if not nested:
         return html
-    tag = rf"(?i)</?(?:{'|'.join(nested)})\b[^>]*>"
+    tag = rf"(?i)</?(?:{'|'.join(nested)})\b{_QUOTED}>"
 
     def outside(markup: Column) -> Column:
         found = F.regexp_extract_all(markup, F.lit(tag), F.lit(0))
@@ -91,8 +97,9 @@ def unescape(text: Column) -> Column:
         hexadecimal = F.lower(reference).startswith("&#x")
         number = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
         long = F.length(F.regexp_replace(reference, "^&#[xX]?0*|;$", "")) > 8
+        name = F.substring(reference, F.lit(2), F.length(reference) - 2)  # named ones end in a semicolon
         return F.when(reference.startswith("&#"), F.when(long, F.lit("\ufffd")).otherwise(character(F.coalesce(number, F.lit(0))))).otherwise(
-            F.coalesce(F.try_element_at(_map(_NAMED), F.regexp_replace(reference, "^&|;$", "")), reference))
+            F.coalesce(F.try_element_at(_map(_COMMON), name), F.try_element_at(_map(_NAMED), name), reference))
 
     def joined(t: Column) -> Column:
         pieces = F.split(t, _REFERENCE, -1)
@@ -104,7 +111,7 @@ def unescape(text: Column) -> Column:
 
 
 def tags_to_text(fragment: Column) -> Column:
-    return collapse(unescape(F.regexp_replace(fragment, r"(?s)<[^>]*>", " ")))
+    return collapse(unescape(F.regexp_replace(fragment, _TAG, " ")))
 
 
 def body_markup(html: Column) -> Column:
@@ -216,8 +223,9 @@ def first_tel(links: Column) -> Column:
 
 def meta_content(html: Column, key: str, value: str) -> Column:
     """Content of the first `<meta key="value" content=...>`, attributes in either order."""
-    tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b{key}\s*=\s*[\"']{value}[\"'][^>]*>", 0)
-    return blank_to_null(attribute(F.regexp_replace(tag, r"^<meta|/?>$", " "), "content"))
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is)<meta\b({_QUOTED})/?>"), F.lit(1))
+    named = F.filter(tags, lambda t: F.lower(F.trim(attribute(t, key))) == value)
+    return blank_to_null(attribute(F.get(named, F.lit(0)), "content"))
 
 
 def meta_author(html: Column) -> Column:
@@ -233,7 +241,7 @@ def meta_name(html: Column) -> Column:
 
 
 def element_text(html: Column, tag: str) -> Column:
-    return tags_to_text(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
+    return tags_to_text(F.regexp_extract(html, rf"(?is)<{tag}\b{_QUOTED}>(.*?)</{tag}\s*>", 1))
 
 
 def parse_hint(html: Column) -> Column:

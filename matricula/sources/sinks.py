@@ -20,8 +20,9 @@ def write_ordered_json(df: DataFrame, path: str, key: str, single_file: bool = F
     The sort is range-partitioned, so part files are in order too.
     `single_file` is for small published exports only.
     """
-    ordered = df.orderBy(key)
-    (ordered.coalesce(1) if single_file else ordered).write.mode("overwrite").json(path)
+    # one file: rows move to one task that sorts and writes, and what they come from stays in many
+    ordered = df.repartition(1).sortWithinPartitions(key) if single_file else df.orderBy(key)
+    ordered.write.mode("overwrite").json(path)
 
 
 def list_catalog(catalog: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def write_faculty_csv(professors: DataFrame, out: str, **gates: float) -> None:
 
 def write_coverage_csv(coverage: DataFrame, out: str) -> None:
     """One row per school, one file."""
-    coverage.orderBy("school_id").coalesce(1).write.mode("overwrite").options(**_CSV).csv(out)
+    coverage.repartition(1).sortWithinPartitions("school_id").write.mode("overwrite").options(**_CSV).csv(out)
 
 
 def write_tier(log: DataFrame, path: str, key: str = "school_id", seq: str = "seq") -> None:

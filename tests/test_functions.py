@@ -293,3 +293,21 @@ def test_nested_jsonld(one, scripts, expected):
     page = "".join(f'<script type="application/ld+json">{x if isinstance(x, str) else json.dumps(x)}</script>' for x in scripts)
     (person,) = one(H.jsonld_person(L(page)))
     assert tuple(person) == expected
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<p title="a > b">x</p>', "x"), ("<p title='a > b' data-y=\"c'>d\">x</p>y", "x y"), ("<p don't>x</p>", "x"), ("<P CLASS=a>x<BR/>y</P>", "x y"),
+    ("a < b and c > d", "a d"), ("<div data-x='</nav>'><NAV a='>'>menu</NAV>z</div>", "z"), ("<p a=\"" + "q" * 20000 + ">\">x</p>", "x"),
+])
+def test_tags_with_quoted_values(one, html, text):
+    assert one(H.visible_text(L(html))) == (text,)
+
+
+def test_links_without_an_end_tag(one):
+    (links,) = one(H.anchors(L("<A class=x HREF=/a>one <a href='/b?x=1>2' REL=next>two</A> rest <a href=\"/c\">three<p>more</p>")))
+    assert [(a.href, a.text, a.rel) for a in links] == [("/a", "one", ""), ("/b?x=1>2", "two", "next"), ("/c", "three more", "")]
+
+
+def test_meta_in_any_form(one):
+    page = L("<META CONTENT='a > \"b\"' NAME = author><meta name=\"other\" content='name=author'><meta property='og:title' content=T>")
+    assert one(H.meta_author(page), H.meta_name(page)) == ('a > "b"', "T")

@@ -71,6 +71,23 @@ def character_references(t):
     return page.select("c_custkey", text.alias("text"), H.email_in_text(text).alias("email"), href.alias("href"))
 
 
+@query(
+    "quoted_tags",
+    "T15 T17 T24",
+    """select c_custkey, 'before ' || c_name || ' after link' || c_custkey || ' open next' as text, 'https://s.edu/a?x=' || c_custkey || '>2' as first, 'https://s.edu/b' as second,
+      'open' as "label", 'x > ' || c_mktsegment as author from {customer}""",
+)
+def quoted_tags(t):
+    """A closing bracket inside quoted values, upper-case and unquoted attributes, and a link without an end tag."""
+    k = F.col("c_custkey").cast("string")
+    page = F.concat(
+        F.lit("<HTML><head><META content='x > "), F.col("c_mktsegment"), F.lit("' NAME=author></head><body><p title=\"a > b\" class='c>d'>before "), F.col("c_name"),
+        F.lit("</p><NAV data-x='</nav>'>menu > </NAV> after <A HREF='/a?x="), k, F.lit(">2' rel=nofollow>link"), k, F.lit("</A> <a class=x href=/b>open <a href=\"/c\">next</a></body></HTML>"))
+    rows = t["customer"].select("c_custkey", H.visible_text(page).alias("text"), H.anchors(page).alias("a"), H.meta_author(page).alias("author"))
+    href = lambda i: U.resolve(F.lit("https://s.edu/"), F.get("a", F.lit(i))["href"])
+    return rows.select("c_custkey", "text", href(0).alias("first"), href(1).alias("second"), F.get("a", F.lit(1))["text"].alias("label"), "author")
+
+
 _EXCERPT = f"""with b as (select page_id, {body_markup('html')} m from {{pages}}),
     p as (select page_id,
       list_distinct_ordered(list_filter(list_transform(regexp_extract_all(m, '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]\\s*>', 1), lambda x: {tags_to_text('x')}), lambda x: x <> '')) hs,
