@@ -7,7 +7,6 @@ import pytest
 
 import corpus_pipeline as P
 from matricula.llm import mixing
-from matricula.llm.simhash import simhash
 from matricula.llm.tokens import WordIds
 from matricula.llm.packing import tokenizer_path
 
@@ -30,8 +29,14 @@ def sf_dir(spark, tmp_path_factory):
         labels.append((i, int(not bad), int(toxic)))
     clean = next(d for d in docs if d[0] % 5 == 2)
     docs += [(1000 + i, clean[1], "en", "s1", len(clean[1])) for i in range(5)] + [docs[2], (2000, None, None, None, None)]
+    for n, d in enumerate([d for d in docs[:400] if d[0] % 5 > 1 and d[4] > 1500][:12]):  # edited copies
+        words = d[1].split()
+        words[7] = f"word{n}"
+        docs.append((3000 + n, " ".join(words), *d[2:4], len(" ".join(words))))
     folder = tmp_path_factory.mktemp("sf")
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    clashing = "score string, toxicity int, fingerprint int, row int, shard int, words int, size int, doc string"
+    docs = [(*d, "x", *range(6), "y") for d in docs]
+    spark.createDataFrame(docs, f"doc_id long, text string, lang string, source string, n_chars long, {clashing}").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder), docs, {i: (q, t) for i, q, t in labels}
 
@@ -54,15 +59,21 @@ def test_stages(spark, sf_dir):
     judged = [r for r in good if r[0] in labels]
     assert sum((r[0] in kept) == (labels[r[0]][1] == 0) for r in judged) > 0.95 * len(judged)
 
-    prints = [simhash((r[1] or "").encode()) for r in clean]
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(r[1]) for r in clean]
+    near = [[j for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)] for a in sets]
     group = list(range(len(clean)))  # least index of each component, by plain spreading
     changed = True
     while changed:
         changed = False
-        for i, a in enumerate(prints):
-            for j, b in enumerate(prints):
-                if group[j] < group[i] and bin(a ^ b).count("1") <= 2:
-                    group[i], changed = group[j], True
+        for i, others in enumerate(near):
+            least = min(group[j] for j in others)
+            if least < group[i]:
+                group[i], changed = least, True
+    assert len(set(group)) < len(clean) - 12
     least = {g: min((clean[i][0] for i in range(len(clean)) if group[i] == g), key=lambda d: (d is None, d)) for g in set(group)}
     assert sorted(map(str, (r[0] for r in single))) == sorted(map(str, least.values()))
 
