@@ -19,6 +19,8 @@ are kept. Extra columns are ignored.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +126,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
     lo = span["lo"] or 0
     width = max(1, -(-((span["hi"] or 0) - lo + 1) * BLOCK_DOCS // max(1, span["n"])))
-    block = F.coalesce(F.floor((F.col("doc_id") - lo) / width), F.lit(-1)).cast("long")
+    if max(width, (span["hi"] or 0) - lo) < 1 << 62:
+        place = (F.col("doc_id") - lo) / width
+    else:  # ids so far apart that differences do not fit a long
+        place = (F.col("doc_id").cast("decimal(20,0)") - F.lit(Decimal(lo))) / F.lit(Decimal(width))
+    block = F.coalesce(F.floor(place), F.lit(-1)).cast("long")
     rows = docs.select(block.alias("block"), "doc_id", "text")
     tops = through_table(rows.groupBy("block").agg(F.max("doc_id").alias("top")), "tops")
     # the next lower block in use: within a group of blocks, or the highest block of the next group

@@ -47,6 +47,16 @@ def test_matches_brute_force(spark, monkeypatch, block, group, load):
     assert of[7000] == of[7001] and len({r.fingerprint for r in got}) > 20
 
 
+@pytest.mark.parametrize("ids", [(1, 5, 2 ** 62), (-2 ** 63, 5, 2 ** 63 - 1), (-2 ** 63, -2 ** 63 + 1, None), (2 ** 63 - 1, 2 ** 63 - 1, 0)])
+def test_ids_far_apart(spark, ids):
+    rows = [(i, f"one. two {n}. three.") for n, i in enumerate(ids)]
+    got = S.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (repr(r[0]), r[2])
+    plain = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got), key=key)
+    for a, b in zip(plain, sorted(brute(rows), key=key), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
+
+
 def test_one_document_and_none(spark):
     docs = spark.createDataFrame([(4, "one. two.")], "doc_id long, text string")
     row = S.fingerprints(docs).first()  # its own head replaces its tail
