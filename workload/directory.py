@@ -613,9 +613,9 @@ def department_walk(t):
     return R.department_people_pages(schools, pages, V.MAX_DEPARTMENTS_PER_SCHOOL)
 
 
-_RULES = ", ".join(f"('{r.removeprefix('!').removeprefix('*.')}', {-1 if r[0] == '!' else int(r[0] == '*')})" for r in V.SUFFIX_RULES)
+_SUFFIXES = ", ".join(f"('{r.removeprefix('!').removeprefix('*.')}', {-1 if r[0] == '!' else int(r[0] == '*')})" for r in V.SUFFIX_RULES)
 #: hosts(host) -> domains(host, suffix, domain), every host beside every rule
-_DOMAINS = f"""rules(k, gain) as (values {_RULES}),
+_DOMAINS = f"""rules(k, gain) as (values {_SUFFIXES}),
     parts as (select distinct host, string_split(host, '.') l, regexp_matches(host, '^[0-9.]+$') ip from hosts),
     met as (select host, max(case when gain < 0 then 1000 else 0 end + len(string_split(k, '.')) + gain) z from parts join rules
         on not ip and (host = k or ends_with(host, '.' || k)) and len(string_split(k, '.')) + gain <= len(l) group by host),
