@@ -9,7 +9,7 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matricula.session import scratch_path
+from matricula.session import scratch_path, through_table  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,13 +42,6 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once in the shared folder and read them back: later jobs start there."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder, as a URI, for files that tasks write and read themselves."""
     path = scratch_path(spark, name)

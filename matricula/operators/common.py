@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matricula.session import cut_lineage
+from matricula.session import cut_lineage, through_table
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, rank: str = "rank") -> DataFrame:
@@ -72,18 +72,18 @@ def global_position(df: DataFrame, order: Sequence[Column], name: str = "positio
 
 def breadth_first(
     roots: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | Callable[[DataFrame], DataFrame],
     cap: int | None = None,
     admit: Callable[[DataFrame], DataFrame] = lambda reached: reached,
 ) -> DataFrame:
     """Queue-ordered walk from many roots at once, at most `cap` visits per school.
 
-    roots(school_id, node, ord, counted); edges(src, pos, node, counted). A node
-    that does not count (it is not there to be visited) takes no share of the
+    roots(school_id, node, ord, counted); edges(src, pos, node, counted), or a function
+    that gives the edges leaving the nodes of a frontier(src, ...). A node that does not count (it is not there to be visited) takes no share of the
     cap and leads nowhere. One round is one level of the walk: the nodes newly
     reached are ranked in queue order, cut to what is left of the cap, and joined
-    to their edges; nodes already queued are dropped. A round checkpoints its own
-    level alone, and the levels are put together at the end. Without `cap` the
+    to their edges; nodes already queued are dropped. A round writes its own level
+    alone, so that joins know how small it is, and the levels are put together at the end. Without `cap` the
     walk ends where no new node is reached.
 
     Returns school_id, node, visit (null when not visited), remaining (still in
@@ -99,14 +99,15 @@ def breadth_first(
             reached = reached.join(used, "school_id", "left")
             turn = turn + F.coalesce("used", F.lit(0))
         fits = F.col("counted") if cap is None else F.col("counted") & (turn <= cap)
-        return cut_lineage(reached.select(
-            *key, F.lit(level).alias("level"), "at", F.when(fits, turn.cast("bigint")).alias("visit")))
+        return through_table(reached.select(
+            *key, F.lit(level).alias("level"), "at", F.when(fits, turn.cast("bigint")).alias("visit")), "level")
 
     at = F.struct(F.lit(0).cast("bigint").alias("p"), F.col("ord").cast("int").alias("q"))
     start = roots.groupBy(*key).agg(F.min(at).alias("at"), F.bool_or("counted").alias("counted"))
     levels = [visited(start, 0, [])]
     while not (now := levels[-1].filter(F.col("visit").isNotNull())).isEmpty():
-        reached = admit(now.select("school_id", F.col("node").alias("src"), F.col("visit").alias("turn")).join(edges, "src"))
+        front = now.select("school_id", F.col("node").alias("src"), F.col("visit").alias("turn"))
+        reached = admit(front.join(edges(front) if callable(edges) else edges, "src"))
         fresh = (
             reached.groupBy(*key)
             .agg(F.min(F.struct(F.col("turn").alias("p"), F.col("pos").cast("int").alias("q"))).alias("at"),

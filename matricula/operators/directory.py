@@ -6,6 +6,8 @@ bounded iterations of joins over it, one breadth-first level per round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from matricula.functions import text as T
 from matricula.functions import urls as U
 from matricula.operators import domains as D
 from matricula.operators.common import breadth_first, left_out, pending, spread, top_n
-from matricula.session import cut_lineage
+from matricula.session import cut_lineage, through_table
 
 
 # ----------------------------------------------------------- school filter --
@@ -393,6 +395,9 @@ def directory_rows(
 
 
 # ------------------------------------------------------------------ walks ---
+FEW_PAGES = 1 << 17  # a frontier up to this is sent to all tasks
+
+
 def walk_directories(
     entrypoints: DataFrame, pages: DataFrame, max_pages: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -400,36 +405,55 @@ def walk_directories(
 
     entrypoints(school_id, url, ord); pages(url, status, body). At most
     `max_pages` existing pages per school (no limit without it), shared by its
-    entrypoints; `page_cap_hit` tells where the limit left pages in the queue. Links are
-    read from the pages once; the rounds only touch the pagination links.
+    entrypoints; `page_cap_hit` tells where the limit left pages in the queue. A round
+    reads the links of the pages it visits; one that visits over `FEW_PAGES` has those of
+    all pages read, once.
     """
     # One page per normalised URL, chosen without moving any page body.
-    chosen = pages.groupBy(U.normalize_url(F.col("url")).alias("norm")).agg(
-        F.min("url").alias("page_url"), F.min_by("status", "url").alias("status")
-    )
-    existing = chosen.select("norm", F.lit(True).alias("counted"))
-    read = chosen.filter(F.col("status") == 200).select(F.col("norm").alias("src"), "page_url")
-    links = cut_lineage(
-        classified_links(pages.filter(F.col("status") == 200).select("url", "body"))
-        .filter(F.col("kind") != "ignore")
-        .withColumn("src", U.normalize_url(F.col("page_url")))
-        .filter(F.col("norm") != F.col("src"))
-        .withColumn("domain", U.registrable_domain(F.col("href")))
-        .select("src", "page_url", "pos", "norm", "kind", "domain")
-        .join(read, ["src", "page_url"], "left_semi")
-    )
-    edges = cut_lineage(
-        links.filter(F.col("kind") == "pagination")
-        .join(existing, "norm", "left")
-        .select("src", "pos", F.col("norm").alias("node"), "domain", F.coalesce("counted", F.lit(False)).alias("counted"))
-    )
+    listed = through_table(
+        pages.groupBy(U.normalize_url(F.col("url")).alias("norm")).agg(
+            F.min("url").alias("page_url"), F.min_by("status", "url").alias("status")
+        ), "listed")
+    fetched = pages.filter(F.col("status") == 200).select("url", "body")
+    read: list[DataFrame] = []
+    whole: list[DataFrame] = []
+
+    def links_of(some: DataFrame) -> DataFrame:
+        return (
+            classified_links(some)
+            .filter(F.col("kind") != "ignore")
+            .withColumn("src", U.normalize_url(F.col("page_url")))
+            .filter(F.col("norm") != F.col("src"))
+            .withColumn("domain", U.registrable_domain(F.col("href")))
+            .select("src", "page_url", "pos", "norm", "kind", "domain")
+        )
+
+    def counted(nodes: DataFrame) -> DataFrame:
+        """Whether there is a page at the column `norm`; the few nodes are sent to the many pages."""
+        there = listed.join(nodes.select("norm").distinct(), "norm", "left_semi").select("norm", F.lit(True).alias("there"))
+        return nodes.join(there, "norm", "left").withColumn("counted", F.coalesce("there", F.lit(False))).drop("there")
+
+    def leaving(front: DataFrame) -> DataFrame:
+        here = through_table(
+            listed.filter(F.col("status") == 200)
+            .join(front.select(F.col("src").alias("norm")).distinct(), "norm", "left_semi")
+            .select(F.col("norm").alias("src"), "page_url"), "walk-pages")
+        if not whole and here.count() > FEW_PAGES:
+            whole.append(through_table(links_of(fetched), "all-links"))
+        if whole:
+            links = whole[0].join(here, ["src", "page_url"], "left_semi")
+        else:
+            links = links_of(fetched.join(F.broadcast(here.select(F.col("page_url").alias("url"))), "url", "left_semi"))
+        read.append(through_table(links, "walk-links"))
+        return counted(read[-1].filter(F.col("kind") == "pagination")).select(
+            "src", "pos", F.col("norm").alias("node"), "domain", "counted")
+
     roots = entrypoints.withColumn("norm", U.normalize_url(F.col("url")))
     allowed = roots.select("school_id", U.registrable_domain(F.col("url")).alias("domain")).distinct()
-    start = roots.join(existing, "norm", "left").select(
-        "school_id", F.col("norm").alias("node"), "ord", F.coalesce("counted", F.lit(False)).alias("counted")
-    )
+    start = counted(roots).select("school_id", F.col("norm").alias("node"), "ord", "counted")
     inside = lambda reached: reached.join(allowed, ["school_id", "domain"], "left_semi")
-    walk = breadth_first(start, edges, max_pages, inside)
+    walk = breadth_first(start, leaving, max_pages, inside)
+    links = reduce(DataFrame.unionByName, read) if read else links_of(fetched.filter("false"))
     visited = walk.filter(F.col("visit").isNotNull())
     profiles = (
         inside(
