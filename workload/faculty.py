@@ -223,7 +223,7 @@ def nested_jsonld(t):
         .otherwise(F.concat(F.lit('{"mainEntity":'), person, F.lit("}")))
     )
     page = F.concat(F.lit('<html><head><script type="application/ld+json">'), body, F.lit("</script></head></html>"))
-    found = t["customer"].select(k, H.jsonld_person(page).alias("p"))
+    found = t.dealt("customer").select(k, H.jsonld_person(page).alias("p"))
     return found.select("c_custkey", "p.name", "p.department", "p.email")
 
 

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from matricula.operators.common import spread
+
 _S, _L, _I, _D = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
 _TS = T.TimestampNTZType()
 BASE_SCHEMAS = {
@@ -295,6 +297,15 @@ class Tables:
                 )
         return self._loaded[name]
 
+    def dealt(self, name: str) -> DataFrame:
+        """A table, or a view over tables, whose rows are dealt out to all cores before anything is made of them.
+
+        For pages made from narrow rows: making and reading one costs far more than moving its row, and a whole
+        table may sit in one row group, which is one task."""
+        if name in VIEWS:
+            return self.spark.sql(_escape(VIEWS[name]), **{n: self.dealt(n) for n in references(VIEWS[name])})
+        return spread(self[name], 3 * self.spark.sparkContext.defaultParallelism)
+
 
 def _escape(text: str) -> str:
     """Double every brace that is not a table reference."""
