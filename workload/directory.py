@@ -65,7 +65,7 @@ def character_references(t):
         F.lit("<html><body><header>top<nav>menu<nav>sub</nav></nav>still</header><p>"), pick([w for w, _ in _REFERENCES]),
         F.lit(" "), F.col("c_name"), F.lit("</p><p>mail m"), k.cast("string"), pick(_AT_SIGNS), F.lit("s.edu</p><a href='/p?a="),
         k.cast("string"), F.lit("&amp;b=2'>cv</a><footer>end <b>never closed</b></body></html>"))
-    page = t["customer"].select("c_custkey", body.alias("html"))
+    page = t.dealt("customer").select("c_custkey", body.alias("html"))
     text = H.visible_text(F.col("html"))
     href = U.resolve(F.lit("https://s.edu/"), F.get(H.anchors(F.col("html")), F.lit(0))["href"])
     return page.select("c_custkey", text.alias("text"), H.email_in_text(text).alias("email"), href.alias("href"))
