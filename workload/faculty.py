@@ -168,7 +168,7 @@ def output_slugs(t):
 
 # ------------------------------------------------------------ extraction ----
 def profile_pages(t):
-    pages = t["v_profile_pages"].select(
+    pages = t.dealt("v_profile_pages").select(
         "page_id", "school_id", "http_status", "html",
         F.concat(F.lit("https://x.edu/p/"), F.col("page_id").cast("string")).alias("profile_url"),
     )
