@@ -83,7 +83,7 @@ def quoted_tags(t):
     page = F.concat(
         F.lit("<HTML><head><META content='x > "), F.col("c_mktsegment"), F.lit("' NAME=author></head><body><p title=\"a > b\" class='c>d'>before "), F.col("c_name"),
         F.lit("</p><NAV data-x='</nav>'>menu > </NAV> after <A HREF='/a?x="), k, F.lit(">2' rel=nofollow>link"), k, F.lit("</A> <a class=x href=/b>open <a href=\"/c\">next</a></body></HTML>"))
-    rows = t["customer"].select("c_custkey", H.visible_text(page).alias("text"), H.anchors(page).alias("a"), H.meta_author(page).alias("author"))
+    rows = t.dealt("customer").select("c_custkey", H.visible_text(page).alias("text"), H.anchors(page).alias("a"), H.meta_author(page).alias("author"))
     href = lambda i: U.resolve(F.lit("https://s.edu/"), F.get("a", F.lit(i))["href"])
     return rows.select("c_custkey", "text", href(0).alias("first"), href(1).alias("second"), F.get("a", F.lit(1))["text"].alias("label"), "author")
 
