@@ -245,7 +245,7 @@ def extraction_summary(t):
 )
 def page_parse_hints(t):
     hint = H.parse_hint(F.col("html"))
-    return t["v_profile_pages"].select(
+    return t.dealt("v_profile_pages").select(
         "page_id", hint["name"].alias("h_name"), hint["title"].alias("h_title"),
         H.meta_name(F.col("html")).alias("meta_name"),
     )
