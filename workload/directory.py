@@ -590,7 +590,7 @@ def department_walk(t):
         F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("school_id"),
         F.concat(F.lit("https://www.s"), F.col("n_nationkey").cast("string"), F.lit(".edu/")).alias("homepage"),
     )
-    departments = t["customer"].select(
+    departments = t.dealt("customer").select(
         F.concat(base, F.lit("/department/"), c).alias("url"),
         F.concat(F.lit('<html><a href="/department/'), c, F.lit('/people">People</a><a href="/about">About</a>')).alias("body"),
         "c_nationkey", "c_custkey",
