@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +20,14 @@ _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+MARKS = ("tie__", "failed__")
+
+
+def _earliest(row: Row) -> tuple:
+    at = row["fetched_at"]
+    return at is None, at, row["tie__"]
+
+
 class Attempts(StatefulProcessor):
     """Passes the earliest row of a URL in a batch, unless the URL is settled, with its status and attempt."""
 
@@ -30,21 +37,17 @@ class Attempts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "status string, attempts int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        status, attempts = self.seen.get() if self.seen.exists() else (None, 0)
-        first = None
-        for part in rows:
-            if status in (DONE, GIVEN_UP):
-                continue
-            part = part if first is None else pd.concat([first, part])
-            first = part.sort_values(["fetched_at", "tie__"], na_position="last", kind="stable").head(1)
-        if first is None:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        status, attempts = self.seen.get() or (None, 0)
+        if status in (DONE, GIVEN_UP):
             return
+        first = min(rows, key=_earliest)
         attempts += 1
-        failed = bool(first["failed__"].iloc[0])
+        failed = first["failed__"]
         status = (GIVEN_UP if self.most is not None and attempts >= self.most else FAILED) if failed else DONE
         self.seen.update((status, attempts))
-        yield first.drop(columns=["tie__", "failed__"]).assign(status=status, attempt=attempts)
+        kept = {name: value for name, value in first.asDict().items() if name not in MARKS}
+        yield Row(**kept, status=status, attempt=attempts)
 
     def close(self) -> None:
         pass
@@ -58,7 +61,7 @@ def admitted(pages: DataFrame, failed, key: str = "profile_url", most: int | Non
     the clock would keep a stream that runs over what is there from ending."""
     shape = T.StructType([*pages.schema.fields, T.StructField("status", T.StringType()), T.StructField("attempt", T.IntegerType())])
     marked = pages.withColumns({"tie__": F.xxhash64("html"), "failed__": F.coalesce(failed, F.lit(False))})
-    return marked.groupBy(key).transformWithStateInPandas(
+    return marked.groupBy(key).transformWithState(
         Attempts(most), outputStructType=shape, outputMode="Append", timeMode="None")
 
 
