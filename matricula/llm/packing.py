@@ -6,7 +6,7 @@ pool, and the next piece of an open sequence is the waiting one whose demand vec
 dot product with what is left of the limits. When none fits, the best one is cut to fit. A sequence
 that ends early (segment or loss limit, or nothing left) is trimmed to the largest power of two, for
 such lengths need no padding; what is trimmed waits again. So padding is never needed. No row is
-shuffled; the pool holds at most `POOL` pieces.
+shuffled; the pool holds at most `POOL` pieces, each with its own ids only.
 
 Defined results: a null or empty text is its end token alone. Repeated rows and null ids are packed
 row by row. An empty table gives no pieces. Loss-bearing tokens are all by default, or those from
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matricula.llm.base import bound_batches, register, table
+from matricula.llm.base import bound_batches, give_back, register, table
 from matricula.llm.tokens import word_ids
 
 TOKENS, SEGMENTS, LOSS, END_ID = 2048, 256, 2048, 1
@@ -36,10 +36,13 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 class Piece:
-    __slots__ = ("doc_id", "ids", "start", "length", "loss_from")
+    """A stretch of a document's ids; `ids` are its own only, as bytes or a view of them."""
 
-    def __init__(self, doc_id, ids: bytes, start: int, length: int, loss_from: int) -> None:
-        self.doc_id, self.ids, self.start, self.length, self.loss_from = doc_id, ids, start, length, loss_from
+    __slots__ = ("doc_id", "ids", "start", "length", "loss_from", "doc_tokens")
+
+    def __init__(self, doc_id, ids: bytes | memoryview, start: int, loss_from: int, doc_tokens: int) -> None:
+        self.doc_id, self.ids, self.start, self.length = doc_id, ids, start, len(ids) // 4
+        self.loss_from, self.doc_tokens = loss_from, doc_tokens
 
     def loss(self, length: int | None = None) -> int:
         end = self.start + (self.length if length is None else length)
@@ -51,8 +54,9 @@ class Piece:
         return min(self.length, tokens, free + loss)
 
     def cut(self, length: int) -> tuple[Piece, Piece]:
-        return (Piece(self.doc_id, self.ids, self.start, length, self.loss_from),
-                Piece(self.doc_id, self.ids, self.start + length, self.length - length, self.loss_from))
+        ids = memoryview(self.ids)
+        return (Piece(self.doc_id, ids[:4 * length], self.start, self.loss_from, self.doc_tokens),
+                Piece(self.doc_id, ids[4 * length:], self.start + length, self.loss_from, self.doc_tokens))
 
 
 class Pool:
@@ -64,6 +68,7 @@ class Pool:
         self.demand = np.zeros((2 * POOL, 3))
 
     def add(self, piece: Piece) -> None:
+        piece.ids = bytes(piece.ids)  # a view would keep the whole document while the piece waits
         n = len(self.pieces)
         if n == len(self.demand):
             self.demand = np.vstack([self.demand, np.zeros_like(self.demand)])
@@ -140,12 +145,13 @@ def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer)
+        give_back()
 
         def pieces() -> Iterator[Piece]:
             for batch in batches:
                 for doc_id, text, begin in zip(*(c.to_pylist() for c in batch.columns)):
                     ids = ids_of(text or b"") + end
-                    yield Piece(doc_id, ids, 0, len(ids) // 4, begin or 0)
+                    yield Piece(doc_id, ids, 0, begin or 0, len(ids) // 4)
 
         first = TaskContext.get().partitionId() * SEQUENCES_OF_A_TASK
         schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -153,14 +159,14 @@ def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int =
         for n, sequence in enumerate(packed(pieces(), (tokens, segments, loss))):
             offset = 0
             for p in sequence:
-                crc = zlib.crc32(memoryview(p.ids)[4 * p.start:4 * (p.start + p.length)])
-                rows.append((p.doc_id, p.start, p.length, crc, len(p.ids) // 4, p.loss(), first + n, offset))
+                rows.append((p.doc_id, p.start, p.length, zlib.crc32(p.ids), p.doc_tokens, p.loss(), first + n, offset))
                 offset += p.length
             if len(rows) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+        give_back()
 
     bound_batches(docs.sparkSession, 2 << 20)
     begin = F.lit(0) if loss_from is None else loss_from

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import string
 import sys
 from array import array
 
 from matricula.llm.pieces import TwoGenerations
 
-CACHED_WORDS = 1 << 18  # of a generation
+CACHED_WORDS = 1 << 17  # of a generation
+MARKS = string.punctuation.encode()
 _LOADED: dict[str, WordIds] = {}
 
 
+def _latin(text: str) -> bool:
+    """Whether these are Latin letters, which lower-case one by one and are in composed form."""
+    return text.isalpha() and max(text) < "İ"
+
+
 class WordIds:
     """ids(text) of a tokenizer that drops white space, lower-cases and never merges across it.
 
@@ -27,21 +34,21 @@ class WordIds:
         # the byte-level alphabet: printable Latin-1 stays, other bytes move above 255
         kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         moved = (256 + i for i in range(256))
-        self.shown = [chr(b if b in kept else next(moved)) for b in range(256)]
+        self.shown = "".join(chr(b if b in kept else next(moved)) for b in range(256))
 
     def _ids(self, word: bytes) -> array:
         if word.isalpha() and word.islower():  # ASCII
             return array("I", [t.id for t in self.model.tokenize(word.decode())])
         text = word.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "İ":
-            text = "".join(map(self.shown.__getitem__, text.lower().encode()))
+        if _latin(text):
+            text = text.lower().encode().decode("latin-1").translate(self.shown)
             return array("I", [t.id for t in self.model.tokenize(text)])
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _encode(self, word: bytes) -> bytes:
-        last = word[-1:]
-        if last in b".," and len(word) > 1 and word[-2:-1].isalpha():  # a single mark after an ASCII letter
-            return self.words[word[:-1]] + self.words[last]
+        head = word.rstrip(MARKS)
+        if head and len(head) < len(word) and (head.isalpha() or _latin(head.decode("utf-8", "replace"))):  # marks after letters
+            return self.words[head] + self.words[word[len(head):]]
         ids = self._ids(word)
         if sys.byteorder == "big":
             ids.byteswap()

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from matricula.llm import packing
+from matricula.llm import packing, tokens
 from matricula.llm.tokens import WordIds
 
 
@@ -72,6 +73,30 @@ def test_a_full_cache_changes_nothing():
     assert np.frombuffer(ids(text.encode()), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_waiting_pieces_keep_their_own_ids_only():
+    def pieces():
+        tracemalloc.start()
+        for n in range(packing.POOL // 4):
+            ids = bytes(4 * (2048 * 50 + 7))  # 400 KB, of which seven ids wait
+            yield packing.Piece(n, ids, 0, 0, len(ids) // 4)
+        kept.append(tracemalloc.get_traced_memory()[0])
+        tracemalloc.stop()
+
+    kept = []
+    placed = sum(p.length for s in packing.packed(pieces(), (2048, 256, 2048)) for p in s)
+    assert placed == packing.POOL // 4 * (2048 * 50 + 7)
+    assert kept[0] < 8 << 20
+
+
+def test_marks_after_letters_are_one_word_of_the_tokenizer():
+    ids, whole = WordIds(packing.tokenizer_path()), []
+    ids._ids = lambda word, made=ids._ids: whole.append(word) or made(word)
+    for text in ["été.", "loser$$$", "straße,###", "a''", "été.%%%", "x.<|", "É!!"]:
+        want = ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids(text.encode()), "<u4").tolist() == want, text
+    assert not any(w.rstrip(tokens.MARKS) not in (w, b"") for w in whole)
+
+
 def test_limits_must_be_positive(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.range(1), "", tokens=0)
