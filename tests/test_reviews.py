@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from matricula.operators import reviews
 from matricula.plans.recommend import recommend
+from workload import ranking as _  # noqa: F401
+from workload.registry import REGISTRY as QUERIES
+from workload.views import Tables
 from tests_support import PROFILE_SCHEMA, UNI_SCHEMA, frame, make_profiles, make_universities, plain_rank
 
 
@@ -29,6 +32,11 @@ def test_sanitize(spark):
     assert got[3]["keep_ids"] == [] and got[3]["confidence"] == 0.0
 
 
+def test_sanitized_reviews_rank_once(spark):
+    plan = QUERIES["sanitized_reviews"].run(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "customer.parquet" not in plan and "c_custkey" not in plan
+
+
 @pytest.mark.parametrize(
     "i,top,prev,kept,conf,expected",
     [(0, ["a"], None, ["a"], 0.95, "R1_converged"), (0, ["a"], None, ["b"], 0.9, "R2_confident"),

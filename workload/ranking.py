@@ -8,6 +8,7 @@ from matricula import fixed_values as V
 from matricula.functions import text
 from matricula.operators import ranking, reviews
 from matricula.operators.common import spread
+from matricula.session import cut_lineage
 from workload.registry import query
 
 _WORD = r"(^|[^\p{L}\p{N}_])"
@@ -212,7 +213,7 @@ def _odd_reviews(ranked):
     from pool where worst - rank < 5""",
 )
 def sanitized_reviews(t):
-    ranked = top5(t, 8)
+    ranked = cut_lineage(top5(t, 8))  # read by the reviews and by their sanitation, ranked once
     clean = reviews.sanitize(_odd_reviews(ranked), ranked, 5)
     return clean.select(
         "profile_id", F.posexplode("keep_ids").alias("pos", "id"), "confidence",
