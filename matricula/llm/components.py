@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from matricula.llm.base import through_table
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and checksum, which are observed as they are written."""
+    seen = Observation()
+    out = through_table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")), name)
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,11 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     a component; every round is written to the shared folder, and only a row count and a checksum
     reach the driver. A hub's many edges are joined, never gathered, so Spark can split them.
     """
-    edges = through_table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    seen = _signature(edges)
+    edges, seen = _written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while seen[0]:
-        edges = through_table(_small_star(_large_star(edges)), "stars")
-        now = _signature(edges)
+        edges, now = _written(_small_star(_large_star(edges)), "stars")
         if now == seen:
             break
         seen = now

@@ -330,7 +330,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
         docs_.append([[one.setdefault(w, w) for w in bytes(window).split()] for window in r["w"]])
         labels_.append(int(r["toxic"]))
         held.append(r["held"])
-    return fit(docs_, labels_, held)
+    net = fit(docs_, labels_, held)
+    del docs_, one
+    give_back()
+    return net
 
 
 def with_toxicity(docs: DataFrame, net: Network, text: str = "text", name: str = "toxicity") -> DataFrame:
