@@ -26,7 +26,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,7 @@ class Tokenizers:
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -88,23 +89,35 @@ class Tokenizers:
             marks = "".join(m for m in MARKS if m not in inside)
             self.cut = re.compile(r"(?<=[!-~\w])(?=[ \n])" + (f"|(?<=[{LETTERS}])(?=[{marks}])" if marks else ""))
         self.a_ids = TwoGenerations(self._a_ids, CACHED // 2)
+        self.b_words = TwoGenerations(self.b_ids, CACHED // 2)
+        self.library = SentencePieceProcessor(model_file=b_path) if self.b.splits_words and self.b.bytes_at else None
 
     def _a_ids(self, stretch: str) -> bytes:
         return array("i", self.a.encode(stretch, add_special_tokens=False).ids).tobytes()
 
-    def all_a_ids(self, stretches: list[str]) -> list[bytes]:
-        """The ids of A; those not kept are made in batches."""
-        known, old = self.a_ids, self.a_ids.old
-        new = [s for s in stretches if s not in known and s not in old]
+    @staticmethod
+    def _in_batches(stretches: list[str], kept: TwoGenerations, new: list[str], encode: Callable) -> list[bytes]:
         made = {}
         for at in range(0, len(new), ENCODED):
             part = new[at:at + ENCODED]
-            made.update(zip(part, (array("i", e.ids).tobytes() for e in self.a.encode_batch_fast(part, add_special_tokens=False))))
-        out = [made[s] if s in made else known[s] for s in stretches]
+            made.update(zip(part, (array("i", ids).tobytes() for ids in encode(part))))
+        out = [made[s] if s in made else kept[s] for s in stretches]
         for s, ids in made.items():
-            known.keep(s, ids)
+            kept.keep(s, ids)
         return out
 
+    def all_a_ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of A; those not kept are made in batches."""
+        kept, old = self.a_ids, self.a_ids.old
+        new = [s for s in stretches if s not in kept and s not in old]
+        return self._in_batches(stretches, kept, new, lambda part: [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)])
+
+    def all_b_ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of B; new words of letters after one space are what the library itself puts a space before."""
+        kept, old = self.b_words, self.b_words.old
+        new = [s for s in stretches if s[0] == " " and s not in kept and s not in old and s[1:].isalpha()] if self.library else []
+        return self._in_batches(stretches, kept, new, lambda part: self.library.encode([s[1:] for s in part], num_threads=1))
+
     def b_ids(self, stretch: str) -> bytes:
         if stretch[0] == " " and stretch.count(" ") == 1 and len(stretch) > 1 and SPACE not in stretch:
             return self.b.words[stretch[1:]]
@@ -141,7 +154,7 @@ class Aligned:
     def __init__(self, t: Tokenizers, stretches: list[str]) -> None:
         raw = [s.encode("utf-8", "surrogateescape") for s in stretches]
         whole = [s if s.isascii() else r.decode("utf-8", "replace") for s, r in zip(stretches, raw)]
-        a, b = t.all_a_ids(whole), [t.b_ids(s) for s in whole]
+        a, b = t.all_a_ids(whole), t.all_b_ids(whole)
         size = np.array([len(r) for r in raw], np.int64)
         self.ok = np.array([covers(t.a_raw, x, r) and covers(t.b.raw, y, r) for x, y, r in zip(a, b, raw)], bool) if (
             not covers(t.a_raw, b"".join(a), b"".join(raw)) or not covers(t.b.raw, b"".join(b), b"".join(raw))

@@ -101,3 +101,12 @@ def test_query_on_whole_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
     expected = [(*r[:-1], hashlib.sha256(r[-1].encode()).hexdigest() if r[-1] else "") for r in plain(docs)]
     assert rows(entry.queries()["op13_alignment"](spark, SF_DIR)) == sorted(expected, key=str)
+
+
+def test_words_in_batches_have_the_ids_of_single_words(monkeypatch):
+    """New words of letters go to the library together; what is not of letters, or already kept, does not."""
+    monkeypatch.setattr(alignment, "ENCODED", 3)
+    t = alignment.Tokenizers(A, B)
+    stretches = [" the", " Straße", " 漢字かな", " x1", ",", "word", " ", "\n", " ﬁ", " zzzzqqqq" * 2, " İstanbul", " " + "ab" * 300, " ÿ", "  a"]
+    for _ in range(2):
+        assert t.all_b_ids(stretches) == [t.b_ids(s) for s in stretches]
