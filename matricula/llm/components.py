@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matricula.llm.base import through_table
 
 
-def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-    """The edges as a table, and their number and checksum, which are observed as they are written."""
-    seen = Observation()
-    out = through_table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")), name)
-    return out, (seen.get["n"], seen.get["sum"])
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no node has two lesser neighbours, or one and a larger one."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(0).alias("lesser")), F.struct(F.col("b").alias("node"), F.lit(1).alias("lesser")))).alias("e"))
+    lesser = ends.groupBy("e.node").agg(F.sum("e.lesser").alias("n"), F.min("e.lesser").alias("least"))
+    return lesser.filter("n > 1 or (n = 1 and least = 0)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,15 +33,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of long nodes, a <> b -> (node, root), root the least node of the component.
 
-    Nodes without an edge are not in the result. The number of rounds is logarithmic in the size of
-    a component; every round is written to the shared folder, and only a row count and a checksum
-    reach the driver. A hub's many edges are joined, never gathered, so Spark can split them.
+    Nodes without an edge are not in the result. `edges` is read more than once: pass a table. The number of
+    rounds is logarithmic in the size of a component; every round is written to the shared folder, and only
+    whether it ended in stars reaches the driver. A hub's many edges are joined, never gathered, so Spark can split them.
     """
-    edges, seen = _written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    while seen[0]:
-        edges, now = _written(_small_star(_large_star(edges)), "stars")
-        if now == seen:
-            break
-        seen = now
+    edges = through_table(_small_star(_large_star(edges)), "stars")
+    while not _settled(edges):
+        edges = through_table(_small_star(_large_star(edges)), "stars")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
         edges.select("a", "a").distinct())

@@ -88,7 +88,8 @@ def with_components(prints: DataFrame, parts: DataFrame) -> DataFrame:
 
 def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Add component_id to rows with doc_id and fingerprint. `prints` is read several times: pass a table."""
-    return with_components(prints, components(links(prints.select("fingerprint").distinct(), radius)))
+    edges = through_table(links(prints.select("fingerprint").distinct(), radius), "edges")
+    return with_components(prints, components(edges))
 
 
 def first_of_each(judged: DataFrame) -> DataFrame:
