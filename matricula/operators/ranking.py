@@ -5,7 +5,9 @@ universities, keyed by the two hard filters (country class, institution type)
 and a pack number. A profile meets the packs its filters admit through an
 equi-join. The catalog is counted first: up to `BROADCAST_ROWS` universities
 (a few megabytes) the packs are broadcast, and profiles, hash-partitioned by
-`profile_id` once, are scored and ranked in the same task. A larger catalog is
+`profile_id` once, are scored and ranked in the same task; there are as many
+tasks as keep the pairs that one of them sorts near `PAIRS_PER_TASK`, however
+many profiles there are. A larger catalog is
 shuffled on (filters, pack) instead, which by then are many keys; the partial
 rank still reduces each task to k rows per profile before they move. Either
 way no pair crosses the network, and the result is the same.
@@ -30,6 +32,7 @@ from matricula.operators.common import spread, top_n
 
 PACK_ROWS = 256
 BROADCAST_ROWS = 16384
+PAIRS_PER_TASK = 1 << 19
 UNIVERSITY_FIELDS = (
     "id", "avg_gpa", "avg_sat", "acceptance_rate", "net_price", "sticker_tuition",
     "tuition_in_state", "state", "region", "setting", "enrollment",
@@ -225,6 +228,15 @@ def admitted_filters(profiles: DataFrame, packs: int) -> DataFrame:
     )
 
 
+def ranking_tasks(profiles: DataFrame, schools: int) -> int:
+    """Tasks that rank at most about PAIRS_PER_TASK pairs each; no fewer than other shuffles have.
+
+    Distinct ids are counted: unlike the rows, they do not depend on what was joined to the profiles.
+    """
+    pairs = profiles.select("profile_id").distinct().count() * schools
+    return max(int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS_PER_TASK))
+
+
 def rank_top_k(
     profiles: DataFrame,
     catalog: DataFrame,
@@ -239,8 +251,7 @@ def rank_top_k(
     if packs.rows <= broadcast_rows:
         entries = F.broadcast(entries)
         # One hash partitioning by profile serves both the scoring and the final rank.
-        width = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ready = ready.repartition(width, "profile_id")
+        ready = ready.repartition(ranking_tasks(profiles, packs.rows), "profile_id")
     seekers = admitted_filters(ready, packs.per_filter)
     pairs = (
         seekers.join(entries, ["is_us", "type", "pack"])

@@ -24,3 +24,11 @@ def test_rows_are_dealt_before_pages_are_read(spark, name):
     """One row group was one task."""
     rows = entry.queries()[name](spark, SF_DIR)
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_profiles_are_dealt_before_they_are_prepared(spark):
+    """Wide rows of all profiles left one task for the ranking's shuffle."""
+    from workload.ranking import ranked_profiles
+
+    plan = ranked_profiles(Tables(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({3 * spark.sparkContext.defaultParallelism})" in plan

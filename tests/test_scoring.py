@@ -197,3 +197,17 @@ def test_no_pairs_cross_a_shuffle(spark):
     top = plan.split("hashpartitioning(profile_id")
     assert len(top) == 2, "one shuffle on profile_id"
     assert "WindowGroupLimit" in top[0]
+
+
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    """More profiles make more ranking tasks, not larger ones; the ranking stays the same."""
+    catalog, people = frame(spark, make_universities(), UNI_SCHEMA), frame(spark, make_profiles(), PROFILE_SCHEMA)
+    want = sorted(ranking.rank_top_k(people, catalog, 5).collect())
+    n, pairs = people.select("profile_id").distinct().count(), 2 * catalog.count()
+    monkeypatch.setattr(ranking, "PAIRS_PER_TASK", pairs)
+    got = ranking.rank_top_k(people, catalog, 5)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2))
+    assert "hashpartitioning(profile_id#" in (plan := got._jdf.queryExecution().executedPlan().toString())
+    assert f", {tasks})" in plan.split("hashpartitioning(profile_id")[1].split("\n")[0]
+    assert ranking.ranking_tasks(people, 1000 * pairs) == 1000 * n
+    assert sorted(got.collect()) == want

@@ -99,7 +99,7 @@ def scored_ctes(weights: dict[str, str] | None = None, catalog: str = "{v_catalo
 
 def ranked_profiles(t):
     masks = ranking.activity_masks(t["v_activities"])
-    return t["v_profiles"].join(masks, "profile_id", "left")
+    return t.dealt("v_profiles").join(masks, "profile_id", "left")
 
 
 def top5(t, k=5, feedback=None):
